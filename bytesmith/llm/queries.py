@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, secrets
 from .common import new_path, table
 from .forest import nearest
 from .packing import pack
@@ -24,6 +24,16 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base_spans", lambda x: x["kind"] == k)).cast("long")
+    everything = F.array_sort(F.concat("base_spans", "entropy_spans"))
+    return found.withColumn("every", everything).select(
+        "doc_id", *[count(k).alias(f"n_{kind.name}") for k, kind in enumerate(secrets.BASE)],
+        F.sha2(secrets.span_text("base_spans"), 256).alias("base_sha256"), secrets.span_text("every").alias("spans"),
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 24, 8)
 
@@ -57,6 +67,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op3_secrets": op3_secrets,
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
     "op6_forest": op6_forest,
