@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import bpe, secrets
 from .common import new_path, table
 from .forest import nearest
+from .neardup import classes
 from .packing import pack
 from .sharding import shard_documents
 from .topk import top_k
@@ -65,6 +66,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_secrets": op3_secrets,
@@ -73,6 +78,7 @@ QUERIES = {
     "op6_forest": op6_forest,
     "op8_topk": op8_topk,
     "op9_warc": op9_warc,
+    "op10_neardup": op10_neardup,
 }
 
 SQL = {
