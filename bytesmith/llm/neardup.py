@@ -203,8 +203,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, *, threshold: float = 0.8, bands: int = 10) -> DataFrame:
-    """doc_id, node (SHA-256 of the text), class_id, class_size (rows): a row per document."""
+def _classes(docs: DataFrame, threshold: float, bands: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of each row, and node, doc_id (its least), label (of its component) of each different text."""
     texts = _texts(docs)
     weights = Weights(*document_frequencies(texts))
     rows = staged(sketches(texts, weights, bands), "sketches")
@@ -242,10 +242,28 @@ def classes(docs: DataFrame, *, threshold: float = 0.8, bands: int = 10) -> Data
             if buckets.isEmpty():
                 break
     named = nodes.select("node", "doc_id", "n")
-    if links is not None:
-        named = named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        groups = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
-        of = named.join(groups, "label").select("node", "class_id", "class_size")
-    else:
-        of = named.select("node", F.col("doc_id").alias("class_id"), F.col("n").alias("class_size"))
+    if links is None:
+        return rows, named.withColumn("label", F.col("node"))
+    return rows, named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def classes(docs: DataFrame, *, threshold: float = 0.8, bands: int = 10) -> DataFrame:
+    """doc_id, node (SHA-256 of the text), class_id, class_size (rows): a row per document."""
+    rows, named = _classes(docs, threshold, bands)
+    groups = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
+    of = named.join(groups, "label").select("node", "class_id", "class_size")
     return rows.select("doc_id", "node").join(of, "node").select("doc_id", "node", "class_id", "class_size")
+
+
+def deduplicate(docs: DataFrame, *, threshold: float = 0.8, bands: int = 10) -> DataFrame:
+    """The rows of docs that stay: of each class the one with the least doc_id (null only if all are), of rows equal in
+    doc_id and text one. Where several texts of a class share that id, the text with the least SHA-256 stays."""
+    rows, named = _classes(docs, threshold, bands)
+    first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.node").alias("_of"))
+    same = lambda i, n: F.col(i).eqNullSafe(F.col("_id")) & (F.col(n) == F.col("_of"))
+    first = staged(rows.join(first, same("doc_id", "node")).groupBy("_id", "_of").agg(F.count(F.lit(1)).alias("_rows")), "first")
+    keyed = docs.withColumn("_long", F.col("doc_id").cast("long")).withColumn("_node", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    kept = keyed.join(first.filter("_rows = 1"), same("_long", "_node"), "left_semi")
+    if not first.filter("_rows > 1").isEmpty():
+        kept = kept.unionByName(keyed.join(first.filter("_rows > 1"), same("_long", "_node"), "left_semi").dropDuplicates(["_long", "_node"]))
+    return kept.drop("_long", "_node")

@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets
+from . import bpe, pii, secrets
 from .common import new_path, table
 from .forest import nearest
 from .neardup import classes
 from .packing import pack
+from .quality import classify
 from .sharding import shard_documents
 from .topk import top_k
 from .warc import read_warc, write_warc
 
 
+#: The key of the queries' surrogates; a real run takes its own.
+PII_KEY = "bytesmith"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_entities")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,6 +64,10 @@ def op6_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows, _every_hundredth(rows), 10)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "evidence", "site_rate", "score", "keep")
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return top_k(rows, _every_hundredth(rows), 10)
@@ -71,11 +84,13 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
     "op3_secrets": op3_secrets,
     "op4_sharding": op4_sharding,
     "op5_packing": op5_packing,
     "op6_forest": op6_forest,
+    "op7_quality": op7_quality,
     "op8_topk": op8_topk,
     "op9_warc": op9_warc,
     "op10_neardup": op10_neardup,
