@@ -1,5 +1,51 @@
-"""The corpus pipeline: classify, deduplicate, replace personal data, pack."""
-STAGES = []
+"""The corpus pipeline: classify, deduplicate, replace personal data, pack.
+
+A stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs. All but the last
+return the columns of `documents`. Rows with null or empty texts go in the first stage, which finds no words in them; the other
+stages define such rows too, and empty tables go through all stages."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bytesmith.llm import neardup, packing, pii, quality
+from bytesmith.llm.common import new_path, table
+
+PII_KEY = "bytesmith"
+#: No stage can be written in SQL: a fitted classifier, sampled sketches, keyed surrogates, a tokenizer.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return quality.classify(docs, table(spark, sf_dir, "labels")).filter("keep").select(docs.columns)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: the one with the least id."""
+    return neardup.deduplicate(docs)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts with surrogates for personal data; n_chars is that of the new text."""
+    new = pii.pseudonymise(docs, PII_KEY)
+    return new.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and the sequences that they are packed into."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("classify", classify), ("deduplicate", deduplicate), ("replace_personal_data", replace_personal_data), ("pack", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = new_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
