@@ -10,8 +10,8 @@ sample is the (shingle, t) of the least a. Two texts share a sample with the pro
 similarity. Two samples make a band; at 0.8, ten bands miss a pair with probability 4e-5.
 
 Verification. Equal texts are one node. In a bucket, all nodes are compared with the least one; what is then
-not all in one component is compared pair by pair if the bucket has at most SMALL nodes, and else dealt into sub-buckets
-by each later band, and so on: so groups of copies of any size cost one comparison a member. Only where a large bucket
+not all in one component is compared pair by pair across components, if that makes at most PER_NODE pairs a node, and else
+dealt into sub-buckets by each later band, and so on: so groups of copies of any size cost a bounded number of comparisons a member. Only where a large bucket
 holds several components does a pair have to share a second band (at 0.8, 7e-4 of pairs don't). Links are pairs whose weighted Jaccard similarity, summed over all shingles, is at least `threshold`;
 classes are their connected components, found by repeated joins. Nothing about documents is gathered on the driver but the sketch
 and bit maps of fixed size.
@@ -34,7 +34,8 @@ from .shingles import batches, mix, shingles
 
 COMMON = 32
 CELLS = 1 << 16
-SMALL = 64
+#: Pairs of a bucket that are compared directly, for each of its nodes.
+PER_NODE = 128
 #: Entries of the tables that samples are drawn from, and bits of the map of texts to be compared.
 DRAWS = 1 << 16
 MAP_BITS = 1 << 23
@@ -212,7 +213,7 @@ def _classes(docs: DataFrame, threshold: float, bands: int) -> tuple[DataFrame,
     every = nodes.filter("keys IS NOT NULL").select("node", "keys", F.posexplode("keys").alias("band", "bucket")).select("node", "keys", "band", "bucket")
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).filter("size > 1")
     buckets = staged(every.join(shared, "bucket").select("bucket", "band", "node", "size", "hub", "keys"), "buckets")
-    links = None
+    labels = None
     if not buckets.isEmpty():
         wanted = nodes.join(buckets.select("node").distinct(), "node").select("doc_id", "node")
         stored = staged(stored_shingles(texts, wanted), "shingles")
@@ -224,15 +225,18 @@ def _classes(docs: DataFrame, threshold: float, bands: int) -> tuple[DataFrame,
                     pairs = buckets.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
                 else:
                     named = label("node")
-                    split = named.groupBy("bucket").agg(F.min("node_label").alias("l"), F.max("node_label").alias("h")).filter("l != h").select("bucket")
-                    left = staged(named.join(split, "bucket", "left_semi").filter("node != hub"), "unresolved")
-                    small = left.filter(F.col("size") <= SMALL).select("bucket", "node", "node_label")
+                    parts = named.groupBy("bucket", "node_label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count(F.lit(1)).alias("parts"))
+                    split = parts.filter("parts > 1").select("bucket", ((F.col("n") * F.col("n") - F.col("within")) / 2 <= PER_NODE * F.col("n")).alias("direct"))
+                    left = staged(named.join(split, "bucket").filter("node != hub"), "unresolved")
+                    if left.isEmpty():
+                        return rows, _named(nodes, labels)
+                    small = left.filter("direct").select("bucket", "node", "node_label")
                     other = small.select("bucket", F.col("node").alias("b"), F.col("node_label").alias("b_label"))
                     pairs = small.withColumnRenamed("node", "a").join(other, "bucket").filter("a < b AND node_label != b_label").select("a", "b").distinct()
                 new = staged(verified(pairs, stored, weights, threshold), "verified")
                 links = new if links is None else links.union(new)
                 labels = components(links)
-            large = left.filter(F.col("size") > SMALL)
+            large = left.filter("NOT direct")
             if large.isEmpty():
                 break
             # Nodes of a large bucket meet again in those of its parts that share a later band too; the bands end, so this does.
@@ -241,10 +245,14 @@ def _classes(docs: DataFrame, threshold: float, bands: int) -> tuple[DataFrame,
             buckets = staged(deeper.join(sizes, "bucket").select("bucket", "band", "node", "size", "hub", "keys"), "buckets")
             if buckets.isEmpty():
                 break
+    return rows, _named(nodes, labels)
+
+
+def _named(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
     named = nodes.select("node", "doc_id", "n")
-    if links is None:
-        return rows, named.withColumn("label", F.col("node"))
-    return rows, named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    if labels is None:
+        return named.withColumn("label", F.col("node"))
+    return named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def classes(docs: DataFrame, *, threshold: float = 0.8, bands: int = 10) -> DataFrame:
