@@ -9,9 +9,10 @@ Gamma(2, 1) and b uniform, all drawn by the shingle's hash; t = floor(ln(w) / r
 sample is the (shingle, t) of the least a. Two texts share a sample with the probability of their weighted Jaccard
 similarity. Two samples make a band; at 0.8, ten bands miss a pair with probability 4e-5.
 
-Verification. Equal texts are one node. In a bucket, all nodes are compared with the least one; what is then
-not all in one component is compared pair by pair across components, if that makes at most PER_NODE pairs a node, and else
-dealt into sub-buckets by each later band, and so on: so groups of copies of any size cost a bounded number of comparisons a member. Only where a large bucket
+Verification. Equal texts are one node. In a bucket, all nodes are compared with the least and the greatest. Of buckets that are then
+not all in one component, the nodes get signatures, bits of many further samples, and those of different components whose signatures
+are alike are compared, if that makes at most PER_NODE pairs of signatures a node; other buckets are dealt into sub-buckets
+by each later band, and so on: so groups of copies of any size cost a bounded number of comparisons a member. Only where a large bucket
 holds several components does a pair have to share a second band (at 0.8, 7e-4 of pairs don't). Links are pairs whose weighted Jaccard similarity, summed over all shingles, is at least `threshold`;
 classes are their connected components, found by repeated joins. Nothing about documents is gathered on the driver but the sketch
 and bit maps of fixed size.
@@ -34,8 +35,11 @@ from .shingles import batches, mix, shingles
 
 COMMON = 32
 CELLS = 1 << 16
-#: Pairs of a bucket that are compared directly, for each of its nodes.
-PER_NODE = 128
+#: Pairs of a bucket whose signatures are compared directly, for each of its nodes.
+PER_NODE = 1000
+#: Bits of a signature, and how many may differ: of pairs of similarity 0.8 (which differ in a bit with probability 0.1) 2e-5 differ in more.
+SIGNATURE, DIFFERENT = 512, 79
+LONGS = [f"s{i}" for i in range(SIGNATURE // 64)]
 #: Entries of the tables that samples are drawn from, and bits of the map of texts to be compared.
 DRAWS = 1 << 16
 MAP_BITS = 1 << 23
@@ -175,6 +179,24 @@ def similarity(a: bytes, b: bytes, weights: Weights) -> float:
     return shared / (total - shared)
 
 
+def signatures(nodes: DataFrame, stored: DataFrame, weights: Weights) -> DataFrame:
+    """node and SIGNATURE bits of it (s0, s1, ...): the lowest bit of each of so many further samples."""
+
+    def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(SIGNATURE, seed=23)
+        for part in parts:
+            for lo in range(0, part.num_rows, 64):
+                some = part.slice(lo, 64)
+                found = [np.unique(np.frombuffer(x.as_buffer(), np.uint32), return_counts=True) for x in some.column(1)]
+                hashes = np.concatenate([h for h, _ in found]).astype(np.uint64)
+                starts = np.cumsum([0, *(len(h) for h, _ in found[:-1])])
+                bits = sampler(starts, mix(hashes), weights(hashes) * np.concatenate([n for _, n in found]).astype(np.float32)) & np.uint64(1)
+                longs = [(bits[64 * i : 64 * i + 64] << np.arange(64, dtype=np.uint64)[:, None]).sum(axis=0, dtype=np.uint64).view(np.int64) for i in range(SIGNATURE // 64)]
+                yield pa.RecordBatch.from_arrays([some.column(0), *map(pa.array, longs)], ["node", *LONGS])
+
+    return stored.join(nodes, "node", "left_semi").select("node", "shingles").mapInArrow(sign, "node binary, " + ", ".join(f"{c} long" for c in LONGS))
+
+
 def verified(pairs: DataFrame, stored: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """The pairs (a, b) that are links."""
 
@@ -211,43 +233,58 @@ def _classes(docs: DataFrame, threshold: float, bands: int) -> tuple[DataFrame,
     rows = staged(sketches(texts, weights, bands), "sketches")
     nodes = staged(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")), "nodes")
     every = nodes.filter("keys IS NOT NULL").select("node", "keys", F.posexplode("keys").alias("band", "bucket")).select("node", "keys", "band", "bucket")
-    shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).filter("size > 1")
-    buckets = staged(every.join(shared, "bucket").select("bucket", "band", "node", "size", "hub", "keys"), "buckets")
+    buckets = staged(_shared(every), "buckets")
     labels = None
     if not buckets.isEmpty():
         wanted = nodes.join(buckets.select("node").distinct(), "node").select("doc_id", "node")
         stored = staged(stored_shingles(texts, wanted), "shingles")
         links, labels = None, None
+        first = True
         while True:
-            for hubs in (True, False):
-                label = lambda c: buckets.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
-                if hubs:
-                    pairs = buckets.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-                else:
-                    named = label("node")
-                    parts = named.groupBy("bucket", "node_label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count(F.lit(1)).alias("parts"))
-                    split = parts.filter("parts > 1").select("bucket", ((F.col("n") * F.col("n") - F.col("within")) / 2 <= PER_NODE * F.col("n")).alias("direct"))
-                    left = staged(named.join(split, "bucket").filter("node != hub"), "unresolved")
-                    if left.isEmpty():
-                        return rows, _named(nodes, labels)
-                    small = left.filter("direct").select("bucket", "node", "node_label")
-                    other = small.select("bucket", F.col("node").alias("b"), F.col("node_label").alias("b_label"))
-                    pairs = small.withColumnRenamed("node", "a").join(other, "bucket").filter("a < b AND node_label != b_label").select("a", "b").distinct()
-                new = staged(verified(pairs, stored, weights, threshold), "verified")
-                links = new if links is None else links.union(new)
-                labels = components(links)
-            large = left.filter("NOT direct")
-            if large.isEmpty():
+            # Two hubs a bucket: the least and the greatest node.
+            ends = [buckets.filter(f"node != {hub}").select(F.least("node", hub).alias("a"), F.greatest("node", hub).alias("b")) for hub in ("hub", "top")]
+            new = staged(verified(ends[0].union(ends[1]).distinct(), stored, weights, threshold), "verified")
+            links = new if links is None else links.union(new)
+            labels = components(links)
+            named = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            parts = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count(F.lit(1)).alias("parts"))
+            split = parts.filter("parts > 1").select("bucket", ((F.col("n") * F.col("n") - F.col("within")) / 2 <= PER_NODE * F.col("n")).alias("direct"))
+            left = staged(named.join(split, "bucket").filter("node != hub AND node != top"), "unresolved")
+            if left.isEmpty():
                 break
+            direct = left.filter("direct")
+            signed = staged(signatures(direct.select("node").distinct(), stored, weights), "signatures")
+            pairs = _alike(direct.join(signed, "node"), first)
+            new = staged(verified(pairs, stored, weights, threshold), "verified")
+            links, first = links.union(new), False
+            labels = components(links)
             # Nodes of a large bucket meet again in those of its parts that share a later band too; the bands end, so this does.
-            deeper = large.select("node", "keys", "bucket", F.col("band").alias("last"), F.posexplode("keys").alias("band", "key")).filter("band > last").select("node", "keys", "band", F.xxhash64("bucket", "key").alias("bucket"))
-            sizes = deeper.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).filter("size > 1")
-            buckets = staged(deeper.join(sizes, "bucket").select("bucket", "band", "node", "size", "hub", "keys"), "buckets")
+            deeper = left.filter("NOT direct").select("node", "keys", "bucket", F.col("band").alias("last"), F.posexplode("keys").alias("band", "key")).filter("band > last").select("node", "keys", "band", F.xxhash64("bucket", "key").alias("bucket"))
+            buckets = staged(_shared(deeper), "buckets")
             if buckets.isEmpty():
                 break
     return rows, _named(nodes, labels)
 
 
+def _shared(members: DataFrame) -> DataFrame:
+    """The members of buckets of two or more, with the least and the greatest node."""
+    ends = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub"), F.max("node").alias("top")).filter("size > 1")
+    return members.join(ends, "bucket").select("bucket", "band", "node", "hub", "top", "keys")
+
+
+def _alike(members: DataFrame, first: bool) -> DataFrame:
+    """Pairs (a, b) of a bucket, in different components, whose signatures differ in few bits: the join itself drops the others.
+
+    first: buckets are bands, so that a pair of several shared bands comes out of its first alone."""
+    left = members.select("bucket", "band", "node", "label", "keys", *LONGS).alias("x")
+    right = members.select("bucket", "node", "label", "keys", *LONGS).alias("y")
+    apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in LONGS)
+    test = f"x.bucket = y.bucket AND x.node < y.node AND x.label != y.label AND {apart} <= {DIFFERENT}"
+    if first:
+        test += " AND array_position(zip_with(x.keys, y.keys, (p, q) -> p = q), true) = x.band + 1"
+    return left.join(right, F.expr(test)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def _named(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
     named = nodes.select("node", "doc_id", "n")
     if labels is None:
