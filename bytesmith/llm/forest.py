@@ -57,7 +57,7 @@ class Forest:
             yield np.flatnonzero(marked)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, *, trees: int = 48, share: float = 0.4, least: int = 1024, block_rows: int = 8192) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, *, trees: int = 48, share: float = 0.4, least: int = 1024, block_rows: int = 8192, block_queries: int = 2048) -> DataFrame:
     """The k nearest found of each query. At least `least` rows of a block and `share` of them are scored.
 
     A zero vector takes no part. Scores are Euclidean distances in double precision, of the original vectors."""
@@ -72,4 +72,4 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, *, trees: int = 48
         return out
 
     some = lambda df: usable(df).filter(F.exists("v", lambda x: x != 0))
-    return best_of_blocks(some(queries), some(rows), search, k, score="double", largest=False, block_rows=block_rows)
+    return best_of_blocks(some(queries), some(rows), search, k, score="double", largest=False, block_rows=block_rows, block_queries=block_queries)

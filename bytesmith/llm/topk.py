@@ -38,8 +38,8 @@ class ImpactIndex:
         n, d = self.rows.shape
         up, w = (q > 0)[:, None], np.abs(q)[:, None]
         # A segment's impact lies from `least` to `most`; a list begins at its end of greatest impact.
-        least = np.where(up, self.floor - self.low[:, None], self.high[:, None] - self.ceil) * w
-        most = np.where(up, self.ceil - self.low[:, None], self.high[:, None] - self.floor) * w
+        least = np.maximum(0, np.where(up, self.floor - self.low[:, None], self.high[:, None] - self.ceil)) * w
+        most = np.maximum(0, np.where(up, self.ceil - self.low[:, None], self.high[:, None] - self.floor)) * w
         bounds = np.sort(most[self.cut[:, 1:] > self.cut[:, :-1]])[::-1]
         bounds = [int(bounds[len(bounds) * (r + 1) // rounds - 1]) for r in range(rounds)]
         gain, width = np.zeros(n, np.int64), int((most - least).max(axis=1).sum())
@@ -62,7 +62,7 @@ class ImpactIndex:
         return free, self.rows[free] @ q
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1024, levels: int = 64, block_rows: int = 8192) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1024, levels: int = 64, block_rows: int = 8192, block_queries: int = 2048) -> DataFrame:
     """The k highest inner products of each query with all rows but those with its id, exactly."""
 
     def search(ids, x, qids, q, k):
@@ -74,4 +74,4 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1024
             out.append((ids[free][best], scores[best]))
         return out
 
-    return best_of_blocks(usable(queries), usable(rows), search, k, score="long", largest=True, block_rows=block_rows)
+    return best_of_blocks(usable(queries), usable(rows), search, k, score="long", largest=True, block_rows=block_rows, block_queries=block_queries)
