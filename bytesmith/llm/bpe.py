@@ -88,10 +88,10 @@ def stitch(chunks: DataFrame, pattern: str, overlap: int) -> DataFrame:
         )
         if met.filter("sync IS NULL").isEmpty():
             break
-        # A chunk that doesn't meet its neighbour is joined to it: the neighbour's text without the overlap, then its own.
-        runs = met.withColumn("run", F.sum(F.col("sync").isNotNull().cast("long")).over(by_row))
+        # A chunk that doesn't meet its neighbour is joined to it: the neighbour's text up to where its own begins, then that.
+        runs = met.withColumn("run", F.sum(F.col("sync").isNotNull().cast("long")).over(by_row)).withColumn("next", F.lead("start").over(by_row))
         last = F.col("chunk") == F.max("chunk").over(Window.partitionBy("row", "run"))
-        own = F.when(last, F.col("text")).otherwise(F.expr(f"left(text, length(text) - {overlap})"))
+        own = F.when(last, F.col("text")).otherwise(F.expr("left(text, int(next - start))"))
         joined = runs.withColumn("own", own).groupBy("row", "run").agg(F.first("doc_id").alias("doc_id"), F.min("chunk").alias("chunk"), F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct("chunk", "own"))).alias("parts"))
         chunks = joined.select("row", "doc_id", "chunk", "start", F.array_join("parts.own", "").alias("text"))
     begin = F.col("sync") - F.col("start")
