@@ -62,12 +62,13 @@ class WordEncoder(dict):
         self.split, self.plain = regex.compile(self.PATTERN).findall, regex.compile(r"[\x21-\x7e\u00a1-\u00ac\u00ae-\u024f]*").fullmatch
 
     def ids(self, word: str) -> list[int]:
-        if word.isalpha() and max(word) < "\u0250":
-            return self.merge(word.lower().encode() + b"\xff")
+        low = word.lower()
+        if low.isalpha() and max(word) < "\u0250":
+            return self.merge(low.encode() + b"\xff")
         if not self.plain(word):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
         out = []
-        for part in self.split(word.lower()):
+        for part in self.split(low):
             out += self.merge(part.encode() + b"\xff")
         return out
 
