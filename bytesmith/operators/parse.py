@@ -54,31 +54,44 @@ def entry_of(schema_text: str, entry: str | None, endian: str | None) -> tuple[s
     return entry or meta.entry or program(schema_text).schema.first_struct or "", endian or meta.endian or "le"
 
 
-def flatten(root: Node, wanted: frozenset[str] | None = None) -> list[dict]:
-    """Nodes in preorder; `wanted` keeps only the fields of these paths (indexes as []), but numbers all."""
-    out: list[dict] = []
-    stack = [(root, -1, 0, 0, root.name, "r", 0)]
+def flat_rows(root: Node, wanted: frozenset[str] | None = None) -> list[tuple]:
+    """Nodes in preorder, as tuples in the order of the field struct; `wanted` keeps only the fields of these paths (indexes as []), but numbers all."""
+    out: list[tuple] = []
+    stack = [(root, None, 0, 0, root.name, "r", 0)]
     n = 0
     while stack:
         node, parent, ordinal, depth, path, pos, space = stack.pop()
         me, n = n, n + 1
-        leaf = not node.children
-        if wanted is None or _plain(path) in wanted:
-            v = node.value
-            out.append({
-                "node_id": me, "parent_id": parent if parent >= 0 else None, "ordinal": ordinal, "depth": depth, "path": path, "pos_path": pos, "name": node.name, "type_name": node.type_name, "kind": node.kind,
-                "v_u": v if node.kind in ("u", "bitfield") else None, "v_i": v if node.kind == "i" else None, "v_f": v if node.kind == "f" else None, "v_bool": v if node.kind == "bool" else None,
-                "v_str": v if node.kind in ("str", "char") else None, "v_bytes": v if node.kind == "bytes" else None, "v_enum": {"value": v[0], "name": v[1]} if node.kind == "enum" else None,
-                "offset": node.offset, "size": node.size, "description": node.description, "check": node.check, "decoded": node.decoded, "space_id": space, "is_leaf": leaf,
-            })
-        inner = node.space if node.decoded else space
-        indexed = node.kind == "array"
-        for i in range(len(node.children) - 1, -1, -1):
-            c = node.children[i]
-            stack.append((c, me, i, depth + 1, f"{path}[{i}]" if indexed else f"{path}.{c.name}", f"{pos}/{i}", inner))
+        if wanted is None or (_plain(path) if "[" in path else path) in wanted:
+            v, k = node.value, node.kind
+            out.append((
+                me, parent, ordinal, depth, path, pos, node.name, node.type_name, k, v if k in ("u", "bitfield") else None, v if k == "i" else None, v if k == "f" else None, v if k == "bool" else None,
+                v if k in ("str", "char") else None, v if k == "bytes" else None, {"value": v[0], "name": v[1]} if k == "enum" else None, node.offset, node.size, node.description, node.check, node.decoded, space, not node.children,
+            ))
+        if node.children:
+            inner = node.space if node.decoded else space
+            indexed = node.kind == "array"
+            for i in range(len(node.children) - 1, -1, -1):
+                c = node.children[i]
+                stack.append((c, me, i, depth + 1, f"{path}[{i}]" if indexed else f"{path}.{c.name}", f"{pos}/{i}", inner))
     return out
 
 
+def flatten(root: Node, wanted: frozenset[str] | None = None) -> list[dict]:
+    """flat_rows() by name."""
+    names = [f.name for f in _FIELD]
+    return [dict(zip(names, row)) for row in flat_rows(root, wanted)]
+
+
+def _field_lists(rows: list[list[tuple]]) -> pa.Array:
+    """Lists of field structs, built a column at a time."""
+    ends = [0]
+    for r in rows:
+        ends.append(ends[-1] + len(r))
+    flat = list(zip(*(x for r in rows for x in r))) or [()] * len(_FIELD)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, _FIELD)], fields=list(_FIELD)))
+
+
 def _plain(path: str) -> str:
     """The path with its indexes left out: Root.items[].key."""
     parts = path.split("[")
@@ -146,15 +159,17 @@ def parse(objects: DataFrame, schema_text: str, *, entry: str | None = None, end
         prog = program(schema_text)
         for b in batches:
             for lo in range(0, b.num_rows, 512):
-                ids, rows = b.column(0).slice(lo, 512), []
+                ids = b.column(0).slice(lo, 512)
+                flat, rest = [], []
                 for key, content in zip(ids.to_pylist(), b.column(1).slice(lo, 512)):
                     o = prog.run(content.as_py() or b"", entry, endian)
                     if o.fault and mode == "FAILFAST":
                         raise ParseFailed(f"{key}: {o.fault.kind} at {o.fault.path}, offset {o.fault.offset}: {o.fault.message}")
-                    fields = flatten(o.tree, wanted)
-                    row = {"object_id": key, "fields": fields, "fault": vars(o.fault) if o.fault else None, "coverage": coverage_of(leaf_spans(o.tree), o.total), "failed_checks": count_failed(o.tree)}
-                    rows.append(row | ({"json": outcome_json(o), "tree": tree_text(o.tree)} if render else {}))
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                    flat.append(flat_rows(o.tree, wanted))
+                    row = (vars(o.fault) if o.fault else None, coverage_of(leaf_spans(o.tree), o.total), count_failed(o.tree))
+                    rest.append(row + ((outcome_json(o), tree_text(o.tree)) if render else ()))
+                others = [pa.array(c, f.type) for c, f in zip(zip(*rest), list(schema)[2:])]
+                yield pa.RecordBatch.from_arrays([ids, _field_lists(flat), *others], schema=schema)
 
     extra = [("json", pa.string()), ("tree", pa.string())] if render else []
     schema = pa.schema([("object_id", pa.string()), ("fields", pa.list_(_FIELD)), ("fault", _FAULT), ("coverage", _COVERAGE), ("failed_checks", pa.int64()), *extra])

@@ -192,7 +192,7 @@ def test_next_change_is_strict(spark):
 
 def test_tree_diff(spark):
     text = "struct I { a u8 b u8 } struct S { n u8 xs I[n] }"
-    tree = lambda d: fields(parse(spark.createDataFrame([("o", d)], "object_id string, content binary"), text))
+    tree = lambda d: fields(parse(spark.createDataFrame([("o", d)], "object_id string, content binary"), text, entry="S"))
     got = {r.path: r.status for r in diff.tree_diff(tree(b"\x02abcd"), tree(b"\x02abcX")).collect()}
     assert {p for p, s in got.items() if s == "changed"} == {"S", "S.xs", "S.xs[1]", "S.xs[1].b"}
     got = {r.path: r.status for r in diff.tree_diff(tree(b"\x02abcd"), tree(b"\x01ab")).collect()}
