@@ -198,22 +198,21 @@ def signatures(nodes: DataFrame, stored: DataFrame, weights: Weights) -> DataFra
 
 
 def verified(pairs: DataFrame, stored: DataFrame, weights: Weights, threshold: float) -> DataFrame:
-    """The pairs (a, b) that are links."""
+    """The different (p, q) of the pairs (a, b, p, q) whose texts a and b are alike: what they link."""
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            a, b = part.column(2), part.column(3)
-            keep = [similarity(x.as_buffer(), y.as_buffer(), weights) >= threshold for x, y in zip(a, b)]
+            keep = [similarity(x.as_buffer(), y.as_buffer(), weights) >= threshold for x, y in zip(part.column(2), part.column(3))]
             yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left = stored.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = stored.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("p", "q", "x", "y").mapInArrow(compare, "p binary, q binary").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the least node of each node's component, for the nodes of links."""
-    both = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    """node, label: the least node of each node's component, for the nodes of links (p, q)."""
+    both = staged(links.select(F.col("p").alias("a"), F.col("q").alias("b")).union(links.select("q", "p")).distinct(), "links")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
     while True:
         # The least label among the neighbours, then the label of that label.
@@ -238,14 +237,12 @@ def _classes(docs: DataFrame, threshold: float, bands: int) -> tuple[DataFrame,
     if not buckets.isEmpty():
         wanted = nodes.join(buckets.select("node").distinct(), "node").select("doc_id", "node")
         stored = staged(stored_shingles(texts, wanted), "shingles")
-        links, labels = None, None
         first = True
         while True:
             # Two hubs a bucket: the least and the greatest node.
             ends = [buckets.filter(f"node != {hub}").select(F.least("node", hub).alias("a"), F.greatest("node", hub).alias("b")) for hub in ("hub", "top")]
-            new = staged(verified(ends[0].union(ends[1]).distinct(), stored, weights, threshold), "verified")
-            links = new if links is None else links.union(new)
-            labels = components(links)
+            pairs = ends[0].union(ends[1]).distinct().withColumn("p", F.col("a")).withColumn("q", F.col("b"))
+            labels = _merged(labels, staged(verified(pairs, stored, weights, threshold), "verified"))
             named = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             parts = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count(F.lit(1)).alias("parts"))
             split = parts.filter("parts > 1").select("bucket", ((F.col("n") * F.col("n") - F.col("within")) / 2 <= PER_NODE * F.col("n")).alias("direct"))
@@ -255,9 +252,7 @@ def _classes(docs: DataFrame, threshold: float, bands: int) -> tuple[DataFrame,
             direct = left.filter("direct")
             signed = staged(signatures(direct.select("node").distinct(), stored, weights), "signatures")
             pairs = _alike(direct.join(signed, "node"), first)
-            new = staged(verified(pairs, stored, weights, threshold), "verified")
-            links, first = links.union(new), False
-            labels = components(links)
+            labels, first = _merged(labels, staged(verified(pairs, stored, weights, threshold), "verified")), False
             # Nodes of a large bucket meet again in those of its parts that share a later band too; the bands end, so this does.
             deeper = left.filter("NOT direct").select("node", "keys", "bucket", F.col("band").alias("last"), F.posexplode("keys").alias("band", "key")).filter("band > last").select("node", "keys", "band", F.xxhash64("bucket", "key").alias("bucket"))
             buckets = staged(_shared(deeper), "buckets")
@@ -272,8 +267,14 @@ def _shared(members: DataFrame) -> DataFrame:
     return members.join(ends, "bucket").select("bucket", "band", "node", "hub", "top", "keys")
 
 
+def _merged(labels: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Labels after further links: of what was linked before, each node's tie to its label is enough."""
+    old = None if labels is None else labels.filter("node != label").select(F.col("node").alias("p"), F.col("label").alias("q"))
+    return components(new if old is None else old.union(new))
+
+
 def _alike(members: DataFrame, first: bool) -> DataFrame:
-    """Pairs (a, b) of a bucket, in different components, whose signatures differ in few bits: the join itself drops the others.
+    """Pairs (a, b) of a bucket, in different components p and q, whose signatures differ in few bits: the join itself drops the others.
 
     first: buckets are bands, so that a pair of several shared bands comes out of its first alone."""
     left = members.select("bucket", "band", "node", "label", "keys", *LONGS).alias("x")
@@ -282,7 +283,7 @@ def _alike(members: DataFrame, first: bool) -> DataFrame:
     test = f"x.bucket = y.bucket AND x.node < y.node AND x.label != y.label AND {apart} <= {DIFFERENT}"
     if first:
         test += " AND array_position(zip_with(x.keys, y.keys, (p, q) -> p = q), true) = x.band + 1"
-    return left.join(right, F.expr(test)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return left.join(right, F.expr(test)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.label", "y.label").alias("p"), F.greatest("x.label", "y.label").alias("q")).distinct()
 
 
 def _named(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
