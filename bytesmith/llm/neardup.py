@@ -10,12 +10,12 @@ sample is the (shingle, t) of the least a. Two texts share a sample with the pro
 similarity. Two samples make a band; at 0.8, ten bands miss a pair with probability 4e-5.
 
 Verification. Equal texts are one node. In a bucket, all nodes are compared with the least and the greatest. Of buckets that are then
-not all in one component, the nodes get signatures, bits of many further samples, and those of different components whose signatures
-are alike are compared, if that makes at most PER_NODE pairs of signatures a node; other buckets are dealt into sub-buckets
-by each later band, and so on: so groups of copies of any size cost a bounded number of comparisons a member. Only where a large bucket
-holds several components does a pair have to share a second band (at 0.8, 7e-4 of pairs don't). Links are pairs whose weighted Jaccard similarity, summed over all shingles, is at least `threshold`;
-classes are their connected components, found by repeated joins. Nothing about documents is gathered on the driver but the sketch
-and bit maps of fixed size.
+not all in one component, the nodes get signatures, bits of many further samples, and are dealt into blocks of about PER_NODE. Each two
+blocks of a bucket meet in a group of their own, where all pairs of different components are screened by their signatures and, if these are
+alike, verified, the most alike first and none that earlier links of the group have joined. So no pair is left out because a bucket is large: a
+bucket whose n nodes are of many components costs in the order of n * n comparisons of signatures, in groups of bounded size. Links are
+pairs whose weighted Jaccard similarity, summed over all shingles, is at least `threshold`; classes are their connected components, found by
+repeated joins. Nothing about documents is gathered on the driver but the sketch and bit maps of fixed size.
 
 Null and empty texts are the same text, without shingles, as are texts of the same words only if equal; texts of one to four words have
 one shingle. Repeated rows, null and repeated ids are fine: rows of equal text share a class. class_id is the least doc_id of the class (null only
@@ -35,7 +35,7 @@ from .shingles import batches, mix, shingles
 
 COMMON = 32
 CELLS = 1 << 16
-#: Pairs of a bucket whose signatures are compared directly, for each of its nodes.
+#: Nodes of a block: in a group each node is compared with about so many of the other block.
 PER_NODE = 1000
 #: Bits of a signature, and how many may differ: of pairs of similarity 0.8 (which differ in a bit with probability 0.1) 2e-5 differ in more.
 SIGNATURE, DIFFERENT = 512, 79
@@ -166,17 +166,26 @@ def stored_shingles(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(mine, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("node") == F.col("n")), "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def similarity(a: bytes, b: bytes, weights: Weights) -> float:
-    """Weighted Jaccard similarity of two stored texts."""
-    (x, n), (y, m) = (np.unique(np.frombuffer(s, np.uint32), return_counts=True) for s in (a, b))
+def _weighed(stored: bytes, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The different shingles of a stored text, how often each occurs, its weight once, and the weight of all."""
+    x, n = np.unique(np.frombuffer(stored, np.uint32), return_counts=True)
+    w = weights(x.astype(np.uint64))
+    return x, n, w, float(w @ n)
+
+
+def _similarity(a: tuple, b: tuple) -> float:
+    (x, n, _, p), (y, m, wy, q) = a, b
     if not len(x) or not len(y):
         return 0.0
-    wx, wy = weights(x.astype(np.uint64)), weights(y.astype(np.uint64))
-    total = float(wx @ n) + float(wy @ m)
     at = np.minimum(np.searchsorted(x, y), len(x) - 1)
     same = x[at] == y
     shared = float(wy[same] @ np.minimum(n[at[same]], m[same]))
-    return shared / (total - shared)
+    return shared / (p + q - shared)
+
+
+def similarity(a: bytes, b: bytes, weights: Weights) -> float:
+    """Weighted Jaccard similarity of two stored texts."""
+    return _similarity(_weighed(a, weights), _weighed(b, weights))
 
 
 def signatures(nodes: DataFrame, stored: DataFrame, weights: Weights) -> DataFrame:
@@ -237,53 +246,79 @@ def _classes(docs: DataFrame, threshold: float, bands: int) -> tuple[DataFrame,
     if not buckets.isEmpty():
         wanted = nodes.join(buckets.select("node").distinct(), "node").select("doc_id", "node")
         stored = staged(stored_shingles(texts, wanted), "shingles")
-        first = True
-        while True:
-            # Two hubs a bucket: the least and the greatest node.
-            ends = [buckets.filter(f"node != {hub}").select(F.least("node", hub).alias("a"), F.greatest("node", hub).alias("b")) for hub in ("hub", "top")]
-            pairs = ends[0].union(ends[1]).distinct().withColumn("p", F.col("a")).withColumn("q", F.col("b"))
-            labels = _merged(labels, staged(verified(pairs, stored, weights, threshold), "verified"))
-            named = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            parts = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count(F.lit(1)).alias("parts"))
-            split = parts.filter("parts > 1").select("bucket", ((F.col("n") * F.col("n") - F.col("within")) / 2 <= PER_NODE * F.col("n")).alias("direct"))
-            left = staged(named.join(split, "bucket").filter("node != hub AND node != top"), "unresolved")
-            if left.isEmpty():
-                break
-            direct = left.filter("direct")
-            signed = staged(signatures(direct.select("node").distinct(), stored, weights), "signatures")
-            pairs = _alike(direct.join(signed, "node"), first)
-            labels, first = _merged(labels, staged(verified(pairs, stored, weights, threshold), "verified")), False
-            # Nodes of a large bucket meet again in those of its parts that share a later band too; the bands end, so this does.
-            deeper = left.filter("NOT direct").select("node", "keys", "bucket", F.col("band").alias("last"), F.posexplode("keys").alias("band", "key")).filter("band > last").select("node", "keys", "band", F.xxhash64("bucket", "key").alias("bucket"))
-            buckets = staged(_shared(deeper), "buckets")
-            if buckets.isEmpty():
-                break
+        # Two hubs a bucket: the least and the greatest node.
+        ends = [buckets.filter(f"node != {hub}").select(F.least("node", hub).alias("a"), F.greatest("node", hub).alias("b")) for hub in ("hub", "top")]
+        pairs = ends[0].union(ends[1]).distinct().withColumn("p", F.col("a")).withColumn("q", F.col("b"))
+        labels = components(staged(verified(pairs, stored, weights, threshold), "verified"))
+        named = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        split = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), (F.min("label") != F.max("label")).alias("split")).filter("split").select("bucket", "size")
+        left = staged(named.join(split, "bucket").filter("node != hub AND node != top").select("bucket", "band", "node", "label", "keys", "size"), "unresolved")
+        if not left.isEmpty():
+            signed = staged(signatures(left.select("node").distinct(), stored, weights), "signatures")
+            labels = _merged(labels, staged(_linked(left.join(signed, "node").join(stored, "node"), weights, threshold), "linked"))
     return rows, _named(nodes, labels)
 
 
 def _shared(members: DataFrame) -> DataFrame:
     """The members of buckets of two or more, with the least and the greatest node."""
     ends = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub"), F.max("node").alias("top")).filter("size > 1")
-    return members.join(ends, "bucket").select("bucket", "band", "node", "hub", "top", "keys")
+    return members.join(ends.drop("size"), "bucket").select("bucket", "band", "node", "hub", "top", "keys")
 
 
-def _merged(labels: DataFrame | None, new: DataFrame) -> DataFrame:
+def _merged(labels: DataFrame, new: DataFrame) -> DataFrame:
     """Labels after further links: of what was linked before, each node's tie to its label is enough."""
-    old = None if labels is None else labels.filter("node != label").select(F.col("node").alias("p"), F.col("label").alias("q"))
-    return components(new if old is None else old.union(new))
-
-
-def _alike(members: DataFrame, first: bool) -> DataFrame:
-    """Pairs (a, b) of a bucket, in different components p and q, whose signatures differ in few bits: the join itself drops the others.
-
-    first: buckets are bands, so that a pair of several shared bands comes out of its first alone."""
-    left = members.select("bucket", "band", "node", "label", "keys", *LONGS).alias("x")
-    right = members.select("bucket", "node", "label", "keys", *LONGS).alias("y")
-    apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in LONGS)
-    test = f"x.bucket = y.bucket AND x.node < y.node AND x.label != y.label AND {apart} <= {DIFFERENT}"
-    if first:
-        test += " AND array_position(zip_with(x.keys, y.keys, (p, q) -> p = q), true) = x.band + 1"
-    return left.join(right, F.expr(test)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.label", "y.label").alias("p"), F.greatest("x.label", "y.label").alias("q")).distinct()
+    return components(labels.filter("node != label").select(F.col("node").alias("p"), F.col("label").alias("q")).union(new))
+
+
+def _linked(members: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """The different (p, q): components linked by a pair of alike texts of a bucket.
+
+    Every two blocks of a bucket (and each with itself) are one group; a pair of several shared bands is compared in its first alone."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        block, i, j = group["block"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py()
+        _, label = np.unique(np.array(group["label"].to_pylist(), object), return_inverse=True)
+        names = group["label"]
+        signs = np.stack([group[c].to_numpy() for c in LONGS], axis=1).view(np.uint64)
+        keys, band = np.array(group["keys"].to_pylist(), np.int64), group["band"][0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = []
+        for lo in range(0, len(left), 64):
+            x = left[lo : lo + 64]
+            apart = np.zeros((len(x), len(right)), np.uint16)
+            for k in range(len(LONGS)):
+                apart += np.bitwise_count(signs[x, k][:, None] ^ signs[right, k])
+            near = (apart <= DIFFERENT) & (label[x][:, None] != label[right])
+            if i == j:
+                near &= x[:, None] < right
+            u, v = np.nonzero(near)
+            a, b = x[u], right[v]
+            here = (keys[a] == keys[b]).argmax(axis=1) == band
+            found.append(np.stack([apart[u, v][here].astype(np.int64), a[here], b[here]], axis=1))
+        found = np.concatenate(found) if found else np.empty((0, 3), np.int64)
+        parent, texts, links = list(range(len(label))), {}, []
+
+        def root(n: int) -> int:
+            while parent[n] != n:
+                parent[n] = n = parent[parent[n]]
+            return n
+
+        for a, b in found[np.argsort(found[:, 0], kind="stable"), 1:].tolist():
+            p, q = root(label[a]), root(label[b])
+            if p != q:
+                for n in (a, b):
+                    if n not in texts:
+                        texts[n] = _weighed(group["shingles"][n].as_buffer(), weights)
+                if _similarity(texts[a], texts[b]) >= threshold:
+                    parent[p] = q
+                    links.append((a, b))
+        at = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"p": names.take(pa.array(at[:, 0])), "q": names.take(pa.array(at[:, 1]))})
+
+    blocks = F.ceil(F.col("size") / F.lit(PER_NODE)).cast("int")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("bucket", "band", "label", "keys", "shingles", *LONGS, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(compare, "p binary, q binary").distinct()
 
 
 def _named(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:

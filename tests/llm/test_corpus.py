@@ -193,6 +193,20 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, per_node):
     assert got.class_size.tolist() == [want.count(c) for c in want]
 
 
+def test_large_bucket_of_the_last_band_is_compared_whole(spark, monkeypatch):
+    """One bucket, of the only band, with many more pairs across components than PER_NODE a node."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(90):
+        base = [f"w{n}" for n in rng.integers(0, 5000, 50)]
+        texts += [" ".join(base), " ".join(base[:-1] + ["other"])]
+    plain = neardup.sketches
+    monkeypatch.setattr(neardup, "PER_NODE", 20)
+    monkeypatch.setattr(neardup, "sketches", lambda *a: plain(*a).withColumn("keys", F.array(F.lit(7).cast("long"))))
+    got = neardup.classes(docs_of(spark, texts), bands=1).toPandas().set_index("doc_id").loc[range(len(texts))]
+    assert got.class_id.tolist() == brute_classes(spark, texts) == [i - i % 2 for i in range(len(texts))]
+
+
 def test_deduplicate(spark):
     texts = ["a b c d e f", "a b c d e f", "x y z", None, "", "other words that differ here"]
     rows = docs_of(spark, texts).unionByName(docs_of(spark, texts).limit(1)).unionByName(spark.createDataFrame([(None, "x y z", "e", "en", "s", 1)], docs_of(spark, texts).schema))
