@@ -102,6 +102,27 @@ def test_secrets(spark):
         assert [(s.start, s.kind, s.stop) for s in r.entropy_spans] == sorted(want)
 
 
+def test_secrets_of_every_alphabet(spark):
+    """Random keys of each alphabet are found; prose, long words, numbers and names of programs aren't."""
+    rng = np.random.default_rng(4)
+    digits, upper, lower = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    cases = {"HEX": (digits + "ABCDEF", 0.95), "MixedHex": (digits + "abcdefABCDEF", 0.97), "base32": (upper + "234567", 0.95), "lower": (digits + lower, 0.97), "mixed": (digits + upper + lower, 0.9)}
+    texts, of = [], []
+    for name, (alphabet, _) in cases.items():
+        for size in (20, 32, 64):
+            for _ in range(150):
+                texts.append(f"the key is {''.join(rng.choice([*alphabet], size))}, keep it")
+                of.append((name, size))
+    prose = ["The committee's Donaudampfschifffahrtsgesellschaft met in 2019; responsabilidades internacionales, INTERNATIONALIZATION OF 1995.", "call getInternationalizedName2ForUser or aaaaaaaaaaaaaaaaaaaaaaaa1, 12345678901234567890, AAAAAAAAAAAAAAAAAAAAAAAA1",
+             "see src/main/java/util and https://www.site.org/a-long-path/of-some-words/page2.html for the whole story"]
+    rows = {r.doc_id: r.entropy_spans for r in secrets.scan(table(spark, texts + prose, "lang")).filter("doc_id IS NOT NULL").collect()}
+    for name, (_, least) in cases.items():
+        for size in (20, 32, 64):
+            mine = [rows[i] for i, k in enumerate(of) if k == (name, size)]
+            assert np.mean([any(s.stop - s.start == size for s in x) for x in mine]) >= least, (name, size)
+    assert [[s.text for s in rows[len(texts) + i] if s.kind > 4] for i in range(len(prose))] == [[]] * len(prose)
+
+
 def test_personal_data(spark):
     texts = [
         None, "", "Mail Und.34@Mail7.example.com or und.34@mail7.example.com", "call +1 (017) 555-7713, (017) 555-7713 10.1.2.3; card 4929348385146306 or 4929 3483 8514 6306 not 4929348385146307", "ip 161.17.88.162 not 999.1.1.1 or 1.2.3.4.5 ssn 123-45-6789",
