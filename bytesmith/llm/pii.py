@@ -1,9 +1,10 @@
 """Personal data: detected entities get keyed surrogates of the same type, gender, script and format. DataFrame functions only.
 
 Types: email, phone, card (13 to 19 digits with a right check digit), ip (four numbers up to 255), ssn, iban (right check
-digits), and person names after a title or a known given name. Anything else, such as a number of 16 digits with a wrong check digit, is left alone.
+digits), and person names after a title or a known given name. Phones have a country code, a national prefix 0 and separators, or the
+groups 3-3-4. Anything else, such as a number of 16 digits with a wrong check digit or plain digits without prefix, is left alone.
 
-An entity is a canonical value: an e-mail in lower case, a phone's last ten digits, digits or letters without their
+An entity is a canonical value: an e-mail in lower case, a phone's last ten digits without country code and prefix 0, digits or letters without their
 separators, a name without its title in lower case. Its surrogate comes from SHA-256 over (key, type, value,
 attempt): digits for digits, letters of the same script and case, given names of the same gender and script; a card
 keeps its first digit and gets a right check digit, an IBAN its country, an e-mail its top-level domain and the shape of
@@ -39,13 +40,19 @@ SYLLABLES = {"latin": "bar bel dor fen gar hol kel lan mar nor pel ros sal tor v
 ENDINGS = {"latin": ["er", "mann", "ton", "ez", "ier", "ski"], "cyrillic": ["ов", "ин", "енко", "ский"]}
 
 LETTER = r"[\p{L}\p{N}]"
-CAPITAL = r"\p{Lu}[\p{Ll}]+(?:-\p{Lu}\p{Ll}+)?"
+#: A capitalised word, perhaps with inner capitals or an apostrophe (McDonald, O'Brien), or two with a hyphen.
+WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:['’]?\p{Lu}\p{Ll}+)*"
+CAPITAL = rf"{WORD}(?:-{WORD})?"
 #: One pattern for all mentions, so that each character belongs to one of them at most; the first alternative that matches wins.
 EMAIL = r"[\p{L}\p{N}_%+-](?:[\p{L}\p{N}._%+-]*+)@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 NUMBERS = "|".join((
-    r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}", r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ -]\d{2,4}){1,4}(?![.]\d)", r"\+\d{8,15}", r"\d{3}([.-])\d{3}\1\d{4}",
+    r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}", r"\+\d{1,3}[ ./-]?(?:\(\d{1,2}\)(?:[ ./-]?\d){4,10}|\(\d{3,4}\)(?:[ ./-]?\d){4,8}|\d(?:[ ./-]?\d){4,11})(?![.]\d)", r"\+\d{8,15}", r"\d{3}([ .-])\d{3}\1\d{4}",
     r"\d{3}-\d{2}-\d{4}", r"(?:\d{1,3}\.){3}\d{1,3}(?!\.\d)", r"\d{13,19}", r"\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}", r"\d{4}[ -]\d{6}[ -]\d{5}", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    # With a national prefix: five pairs, or an area code and one to four groups.
+    r"0[1-9]([ .-])\d{2}\3\d{2}\3\d{2}\3\d{2}(?![.]\d)", r"(?:0[1-9]\d{1,4} ?[ /-] ?|\(0[1-9]\d{0,4}\)[ /-]?)(?:\d{5,8}|\d{3,4}[ -]\d{3,5}|\d{2,3}[ -]\d{2}[ -]\d{2}(?:[ -]\d{2})?)(?![.]\d)",
 ))
+#: What stands before a phone's own digits: a country code (of one digit, of two, or else of three), with (0) or without, or the prefix 0.
+PREFIX = r"^(?:(?:\+|00)(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})[ ./-]?(?:\(0\))?|0(?=[1-9])|\(0(?=[1-9]\d{0,4}\)[ /-]?\d{5}))"
 TITLE = "(?:" + "|".join(t for names in TITLES.values() for t in names) + ")"
 KNOWN = "(?:" + "|".join(n for names in GIVEN.values() for n in names) + ")"
 NAME = rf"{TITLE}\.? {CAPITAL}(?: {CAPITAL})?|{KNOWN} {CAPITAL}"
@@ -101,9 +108,9 @@ def value_of(m: str, kind: str) -> str:
     digits = f"regexp_replace({m}, '[^0-9]', '')"
     gender = "CASE " + " ".join(f"WHEN {_like(m, '^(?:' + '|'.join(TITLES[g]) + ')[. ]')} OR {_like(_untitled(m), '^(?:' + '|'.join(n for (_, x), names in GIVEN.items() if x == g for n in names) + ') ')} THEN '{g}'" for g in "fm") + " ELSE 'n' END"
     script = f"IF({_like(m, '[а-яё]')}, 'cyrillic', 'latin')"
-    return f"""CASE {kind} WHEN 'email' THEN lower({m}) WHEN 'phone' THEN right({digits}, 10) WHEN 'ip' THEN {m}
+    return f"""CASE {kind} WHEN 'email' THEN lower({m}) WHEN 'phone' THEN right(regexp_replace(regexp_replace({m}, {_sql(PREFIX)}, ''), '[^0-9]', ''), 10) WHEN 'ip' THEN {m}
         WHEN 'card' THEN {digits} WHEN 'ssn' THEN {digits} WHEN 'iban' THEN regexp_replace({m}, ' ', '')
-        WHEN 'name' THEN concat(lower({_untitled(m)}), '|', {gender}, '|', {script}) END"""
+        WHEN 'name' THEN concat(translate(lower({_untitled(m)}), '’', "'"), '|', {gender}, '|', {script}) END"""
 
 
 def _number(seed: str, i: str) -> str:

@@ -148,6 +148,25 @@ def test_personal_data(spark):
     assert other[8] != out[8].text
 
 
+def test_forms_of_phones_and_names(spark):
+    phones = ["+49 30 1234567", "+49 170 1234567", "+44 7911 123456", "+33 1 23 45 67 89", "+33.1.23.45.67.89", "555 123 4567", "06 12 34 56 78", "0171 2345678", "030/1234567", "+49 (0)30 1234567", "+34 612 345 678", "+49 171/2345678",
+              "01.23.45.67.89", "(030) 1234567", "020 7946 0958", "0171-2345678", "089 12 34 56 78", "+1 (017) 555-7713", "+4915112345678", "(017) 555-7713"]
+    names = ["John McDonald", "Mr. McDonald", "John O'Brien", "Mrs. O’Neill", "Anna MacArthur-DeVito"]
+    others = ["on 01.02.2019 10:30 and 2019-10-12, 12/05/2019", "of 1 234 567 and 100 200 of 3.14159265", "10.1.2.3.4 4929 3483 8514 6307 0123456789 0.12345678", "McDonald and O'Brien met"]
+    texts = [f"call {p}, please" for p in phones] + [f"Then {n} left" for n in names] + others + ["+49 171 2345678 or 0171 2345678 or +491712345678"]
+    out = {r.doc_id: r for r in pii.pseudonymise(table(spark, texts, "value"), "key").collect()}
+    for i, t in enumerate(texts[: len(phones)]):
+        assert out[i].n_entities == 1 and out[i].text != t and re.sub(r"\d", "d", out[i].text) == re.sub(r"\d", "d", t), t
+        if "+" in t:
+            assert out[i].text[:7] == t[:7], t
+    for i, n in enumerate(names, len(phones)):
+        assert out[i].n_entities == 1 and n.split()[-1] not in out[i].text and out[i].text.startswith("Then ") and out[i].text.endswith(" left"), n
+    for i, t in enumerate(others, len(phones) + len(names)):
+        assert (out[i].text, out[i].n_entities) == (t, 0)
+    a, b, c = (re.sub(r"\D", "", x) for x in out[len(texts) - 1].text.split(" or "))
+    assert a == c and a[2:] == b[1:] != "1712345678"
+
+
 def test_surrogates_stay_distinct(spark):
     """Seven-digit phones are a crowded space: collisions must happen and be solved."""
     rows = spark.range(3000).select(F.lit("phone").alias("kind"), F.format_string("55%05d", F.col("id")).alias("value"))
