@@ -57,8 +57,8 @@ TITLE = "(?:" + "|".join(t for names in TITLES.values() for t in names) + ")"
 KNOWN = "(?:" + "|".join(n for names in GIVEN.values() for n in names) + ")"
 NAME = rf"{TITLE}\.? {CAPITAL}(?: {CAPITAL})?|{KNOWN} {CAPITAL}"
 MENTION = rf"(?<![\p{{L}}\p{{N}}._%+-])(?:{EMAIL}|(?:{NUMBERS}|{NAME})(?!{LETTER}))"
-#: What any mention holds: most texts are done with this alone.
-HINT = rf"[@0-9]|\b(?:{TITLE}|{KNOWN})\b"
+#: What any mention holds: most texts are done with this alone. No \b, which in some versions of Java knows ASCII letters only.
+HINT = rf"[@0-9]|(?<!{LETTER})(?:{TITLE}|{KNOWN})(?!{LETTER})"
 
 DIGITS, LOWER, UPPER = string.digits, string.ascii_lowercase, string.ascii_uppercase
 ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüý"
