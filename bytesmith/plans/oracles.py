@@ -48,6 +48,8 @@ SQL = {
         SELECT doc_id, page, page * 1000 AS offset, (length(substr(h, page * 2000 + 1, 2000)) // 2)::BIGINT AS size, md5(unhex(substr(h, page * 2000 + 1, 2000))) AS md5 FROM p""",
     "src_region": f"WITH {DOCS} SELECT doc_id, substr(h, 21, 200) AS hex FROM d",
     "src_strict_text": f"WITH {DOCS} SELECT doc_id, NOT regexp_matches(substr(h, 1, 202), '^(..)*[89A-F]') AS is_ascii, length(h) % 4 <> 0 AND length(h) < 6 OR length(h) >= 6 AS odd_fails FROM d",
+    "src_strict_text_whole": f"""WITH {DOCS} SELECT doc_id, NOT regexp_matches(h, '^(..)*[89A-F]') AS is_ascii,
+        regexp_full_match(regexp_replace(h, '(..)(..)', '\\2\\1', 'g'), '(([0-9A-CEF].|D[0-7])..|D[89AB]..D[C-F]..)*') AS is_utf16le FROM d""",
     "src_hex_and_bits": "SELECT n_nationkey::BIGINT AS n_nationkey, '00 ' || lpad(upper(to_hex(n_nationkey)), 2, '0') AS hex, '00000000 ' || lpad(to_binary(n_nationkey), 8, '0') AS bits FROM nation",
     "prj_record": RECORD_SQL,
     "prj_record_interpreted": RECORD_SQL,

@@ -99,6 +99,12 @@ def src_strict_text(spark, sf_dir):
     return data.select(F.col("object_id").cast("bigint").alias("doc_id"), B.strict_text(F.col("content"), "ascii").isNotNull().alias("is_ascii"), B.strict_text(F.substring(F.col("content"), 1, 3), "utf16le").isNull().alias("odd_fails"))
 
 
+def src_strict_text_whole(spark, sf_dir):
+    """Whole documents, where src_strict_text reads the first bytes of each."""
+    text = lambda encoding: B.strict_text(F.col("content"), encoding).isNotNull().alias(f"is_{encoding}")
+    return documents(spark, sf_dir).select(F.col("object_id").cast("bigint").alias("doc_id"), text("ascii"), text("utf16le"))
+
+
 def prj_record(spark, sf_dir):
     """Columns by compiled expressions."""
     r = tier_a.project(records(spark, sf_dir), RECORD, "Record", "be")
@@ -389,7 +395,7 @@ def dsl_suggested_names(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    src_endian_reads, src_interpretations, src_pages, src_region, src_strict_text, src_hex_and_bits, prj_record, prj_record_interpreted, prj_varint_orders, prj_tagged_union, prj_faults, agg_coverage,
+    src_endian_reads, src_interpretations, src_pages, src_region, src_strict_text, src_strict_text_whole, src_hex_and_bits, prj_record, prj_record_interpreted, prj_varint_orders, prj_tagged_union, prj_faults, agg_coverage,
     agg_failed_checks, fn_checksums, fn_checksum_columns, agg_entropy, agg_entropy_summary, win_strings, srt_limited_strings, search_all, search_first, search_benchmark, diff_summary, diff_runs, jn_next_change,
     jn_tree_diff, jn_deepest_field, jn_overlaps, win_islands, win_uncovered, fn_detect, jn_schema_of_format, fn_guess, fn_hints, fn_decode_base64, fn_decode_zlib, ed_replay, ed_overlay, ed_last_edit,
     ed_fix_checksums, snk_tree_text, dsl_candidates, dsl_suggested_names,
