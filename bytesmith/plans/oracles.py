@@ -70,6 +70,9 @@ SQL = {
         p AS (SELECT *, k / sum(k) OVER (PARTITION BY doc_id, bucket) AS q FROM c) SELECT doc_id, bucket::BIGINT AS bucket, round(abs(-sum(q * log2(q)) / 8)::FLOAT::DOUBLE, 4) AS entropy FROM p GROUP BY doc_id, bucket""",
     "agg_entropy_summary": f"""WITH {BYTES}, c AS (SELECT doc_id, v, count(*) AS k FROM x GROUP BY ALL), p AS (SELECT *, k / sum(k) OVER (PARTITION BY doc_id) AS q FROM c),
         e AS (SELECT doc_id, abs(-sum(q * log2(q)) / 8) AS v FROM p GROUP BY doc_id) SELECT doc_id, round(v::FLOAT::DOUBLE, 4) AS mean, v > 0.95 AS packed, 0::BIGINT AS peak_bucket FROM e""",
+    "agg_entropy_peaks": f"""WITH {BYTES}, c AS (SELECT doc_id, least(i // (n // least(64, n)), least(64, n) - 1) AS bucket, v, count(*) AS k FROM x GROUP BY ALL),
+        p AS (SELECT *, k / sum(k) OVER (PARTITION BY doc_id, bucket) AS q FROM c), e AS (SELECT doc_id, bucket::BIGINT AS bucket, abs(-sum(q * log2(q)) / 8)::FLOAT AS v FROM p GROUP BY doc_id, bucket)
+        SELECT doc_id, round(avg(v::DOUBLE), 4) AS mean, round(max(v)::DOUBLE, 4) AS peak, max(v) > 0.95 AS packed, arg_max(bucket, {{'v': v, 'b': bucket}}) AS peak_bucket FROM e GROUP BY doc_id""",
     "win_strings": """WITH s AS (SELECT doc_id, regexp_extract_all(text, '[ -~]{6,}') AS l FROM documents)
         SELECT doc_id, i AS ordinal, length(l[i + 1])::BIGINT AS size, 'ascii' AS encoding, l[i + 1] AS text FROM (SELECT *, unnest(range(len(l))) AS i FROM s)""",
     "srt_limited_strings": """WITH s AS (SELECT page_id, regexp_extract_all(html, '[ -~]{6,}') AS l FROM pages)

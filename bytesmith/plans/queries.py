@@ -212,6 +212,13 @@ def agg_entropy_summary(spark, sf_dir):
     return s.select(F.col("object_id").cast("bigint").alias("doc_id"), F.round(F.col("mean").cast("double"), 4).alias("mean"), "packed", F.col("peak_bucket").cast("bigint").alias("peak_bucket"))
 
 
+def agg_entropy_peaks(spark, sf_dir):
+    """The summary over the reference's 64 buckets, where agg_entropy_summary has one."""
+    s = analysis.entropy_summary(analysis.entropy(documents(spark, sf_dir), 64))
+    rounded = lambda c: F.round(F.col(c).cast("double"), 4).alias(c)
+    return s.select(F.col("object_id").cast("bigint").alias("doc_id"), rounded("mean"), rounded("peak"), "packed", F.col("peak_bucket").cast("bigint").alias("peak_bucket"))
+
+
 def win_strings(spark, sf_dir):
     s = analysis.strings(documents(spark, sf_dir), 6)
     return s.select(F.col("object_id").cast("bigint").alias("doc_id"), F.col("ordinal").cast("bigint").alias("ordinal"), "size", "encoding", "text")
@@ -396,7 +403,7 @@ def dsl_suggested_names(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     src_endian_reads, src_interpretations, src_pages, src_region, src_strict_text, src_strict_text_whole, src_hex_and_bits, prj_record, prj_record_interpreted, prj_varint_orders, prj_tagged_union, prj_faults, agg_coverage,
-    agg_failed_checks, fn_checksums, fn_checksum_columns, agg_entropy, agg_entropy_summary, win_strings, srt_limited_strings, search_all, search_first, search_benchmark, diff_summary, diff_runs, jn_next_change,
+    agg_failed_checks, fn_checksums, fn_checksum_columns, agg_entropy, agg_entropy_summary, agg_entropy_peaks, win_strings, srt_limited_strings, search_all, search_first, search_benchmark, diff_summary, diff_runs, jn_next_change,
     jn_tree_diff, jn_deepest_field, jn_overlaps, win_islands, win_uncovered, fn_detect, jn_schema_of_format, fn_guess, fn_hints, fn_decode_base64, fn_decode_zlib, ed_replay, ed_overlay, ed_last_edit,
     ed_fix_checksums, snk_tree_text, dsl_candidates, dsl_suggested_names,
 )}
