@@ -1,6 +1,7 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
-A document's ids are those of the tokenizer without special tokens, then `end`. A null or empty text has the one id
+A document's ids are those of the tokenizer as its file has it, with add_special_tokens=False, then `end`: the strings of added
+tokens (<|endoftext|>) that stand in a text are those tokens' ids, and none are added. A null or empty text has the one id
 `end`. Repeated rows are documents of their own; an empty table gives no rows; other columns are ignored.
 Cuts depend on a document's length alone: whole windows of `capacity` ids first, each a sequence of its own without
 padding, then the rest in near-equal pieces of at most `piece` ids. The rests are dealt into blocks of about
@@ -48,10 +49,13 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         super().__init__()
         self.most = most
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        # The tokenizer looks for these first, in the text as it is; what lies between is encoded by itself.
+        self.added = {t: struct.pack("<I", i) for t, i in special.items()}
+        self.tokenizer.encode_special_tokens = True  # words are lowered here, which must not make such a string of <|ENDOFTEXT|>
+        self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
         ranks = {}
         for token, rank in self.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -80,7 +84,15 @@ class WordEncoder(dict):
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text, as unsigned 32-bit numbers."""
-        return b"".join(map(self.__getitem__, text.encode().lower().split())) if text else b""
+        if not text:
+            return b""
+        if self.cut is not None and self.cut.search(text):
+            between, found = self.cut.split(text), self.cut.findall(text)
+            return b"".join(self._words(x) + self.added.get(t, b"") for x, t in zip(between, [*found, ""]))
+        return self._words(text)
+
+    def _words(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.encode().lower().split()))
 
 
 def byte_symbols() -> str:

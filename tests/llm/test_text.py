@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers as PT
@@ -36,12 +37,15 @@ def test_bpe_of_nothing(spark):
     assert bpe.decode(bpe.encode(table(spark, []).limit(0), RANKS, PT.PATTERN), RANKS).count() == 0
 
 
+#: Strings of added tokens, whole, cut, joined, in other letters, and beside marks that could join them.
+SPECIAL = ["a <|endoftext|> b", "a<|endoftext|>b", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|>x <|endoftext", "é<|endoftext|>\u0301x", "<|endoftext|> \n\x85 <|endoftext|>", "'<|endoftext|>s", "<|ENDOFTEXT|>中 <|endoftext|>中"]
+
+
 def test_word_encoder_equals_tokenizer():
     from tokenizers import Tokenizer
 
     whole, ours = Tokenizer.from_file(WORDS), packing.WordEncoder(WORDS, most=50)
-    whole.encode_special_tokens = True
-    for t in [*ODD, "ÀÉ don't <|endoftext|> 'S ΑΣ İI ﬁ é a b ½ x2y $$$ ... naïvé", "Größe,straße;Ñandú!!"]:
+    for t in [*ODD, *SPECIAL, "ÀÉ don't <|endoftext|> 'S ΑΣ İI ﬁ é a b ½ x2y $$$ ... naïvé", "Größe,straße;Ñandú!!"]:
         assert np.frombuffer(ours.encode(t), np.uint32).tolist() == whole.encode(t or "", add_special_tokens=False).ids, t
 
 
@@ -56,13 +60,17 @@ def test_differencing_is_a_partition():
 
 
 def test_pack(spark):
-    texts = [*ODD, *(f"some words {i} of a text, " * (i % 40) for i in range(120)), "many words " * 3000]
+    from tokenizers import Tokenizer
+
+    texts = [*ODD, *SPECIAL, *(f"some words {i} of a text, " * (i % 40) for i in range(120)), "many words " * 3000]
     rows = packing.pack(table(spark, texts, "row"), WORDS, block_docs=40).toPandas()
-    enc = packing.WordEncoder(WORDS)
+    enc = Tokenizer.from_file(WORDS)
     for i, t in enumerate(texts):
         mine = rows[rows.doc_id == i].sort_values("start")
-        n = len(enc.encode(t)) // 4 + 1
+        ids = np.array([*enc.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        n = len(ids)
         assert (mine.doc_tokens == n).all() and mine.start.iloc[0] == 0 and (mine.start + mine.length).tolist() == [*mine.start.iloc[1:], n]
+        assert mine.ids_crc32.tolist() == [zlib.crc32(ids[a : a + k].tobytes()) for a, k in zip(mine.start, mine.length)]
     by = rows.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
     assert by.length.sum().max() <= 2048
     for _, s in by:
