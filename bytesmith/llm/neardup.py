@@ -1,8 +1,9 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
-Weights. A shingle of five words weighs tf * idf, idf = 1 + ln(min(N / df, COMMON)). df is counted over all documents in a
-count-min sketch of two rows of CELLS cells, whose size doesn't grow; only shingles in over one COMMON-th of all documents differ
-from the greatest idf, and a cell so full is far above what rare shingles add to it.
+Weights. A shingle of five words weighs tf * idf, idf = 1 + ln(min(N / df, common)); `common` of infinity gives plain idf. df is counted over all
+documents in a count-min sketch of two rows of cells; only shingles in over one common-th of all documents differ
+from the greatest idf. The cells of a row are a power of two, at least CELLS and sixteen times the mean bytes of a text, so that a cell so full is above
+what rare shingles add to it, and MOST_CELLS at most, whatever the corpus.
 
 Samples. Each text gets `2 * bands` samples by improved consistent weighted sampling: per shingle and sample r and c are
 Gamma(2, 1) and b uniform, all drawn by the shingle's hash; t = floor(ln(w) / r + b), ln(a) = ln(c) - r * (t - b + 1); the
@@ -11,7 +12,8 @@ similarity. Two samples make a band; at 0.8, ten bands miss a pair with probabil
 
 Verification. Equal texts are one node. In a bucket, all nodes are compared with the least and the greatest. Of buckets that are then
 not all in one component, the nodes get signatures, bits of many further samples, and are dealt into blocks of about PER_NODE. Each two
-blocks of a bucket meet in a group of their own, where all pairs of different components are screened by their signatures and, if these are
+blocks of a bucket meet in a group of their own, where all pairs of different components are screened by their signatures (a pair at the threshold
+is screened out with probability 1e-9) and, if these are
 alike, verified, the most alike first and none that earlier links of the group have joined. So no pair is left out because a bucket is large: a
 bucket whose n nodes are of many components costs in the order of n * n comparisons of signatures, in groups of bounded size. Links are
 pairs whose weighted Jaccard similarity, summed over all shingles, is at least `threshold`; classes are their connected components, found by
@@ -19,7 +21,7 @@ repeated joins. Nothing about documents is gathered on the driver but the sketch
 
 Null and empty texts are the same text, without shingles, as are texts of the same words only if equal; texts of one to four words have
 one shingle. Repeated rows, null and repeated ids are fine: rows of equal text share a class. class_id is the least doc_id of the class (null only
-if all are null). An empty table gives no rows; other columns are ignored, whatever their names."""
+if all are null). An empty table gives no rows; other columns pass through `deduplicate`, whatever their names, and are ignored by `classes`."""
 
 from __future__ import annotations
 
@@ -33,31 +35,32 @@ from pyspark.sql import functions as F
 from .common import staged
 from .shingles import batches, mix, shingles
 
-COMMON = 32
-CELLS = 1 << 16
+COMMON = 32.0
+CELLS, MOST_CELLS = 1 << 16, 1 << 20
 #: Nodes of a block: in a group each node is compared with about so many of the other block.
 PER_NODE = 1000
-#: Bits of a signature, and how many may differ: of pairs of similarity 0.8 (which differ in a bit with probability 0.1) 2e-5 differ in more.
-SIGNATURE, DIFFERENT = 512, 79
+#: Bits of a signature, and how many may differ: pairs of similarity 0.8 differ in a bit with probability 0.1, in 51 on average with deviation 6.8.
+SIGNATURE, DIFFERENT = 512, 96
 LONGS = [f"s{i}" for i in range(SIGNATURE // 64)]
 #: Entries of the tables that samples are drawn from, and bits of the map of texts to be compared.
 DRAWS = 1 << 16
 MAP_BITS = 1 << 23
 
 
-def _cells(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = np.uint64(CELLS - 1)
-    return (hashes & low).astype(np.int64), ((hashes >> np.uint64(16)) & low).astype(np.int64)
+def _cells(hashes: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of a hash, of whose low 32 bits the first row takes the lowest and the second the highest."""
+    low, shift = np.uint64(cells - 1), np.uint64(32 - (cells - 1).bit_length())
+    return (hashes & low).astype(np.int64), ((hashes >> shift) & low).astype(np.int64)
 
 
 class Weights:
     """idf by cell of the sketch."""
 
-    def __init__(self, counts: np.ndarray, n: int):
-        self.idf = (1 + np.log(np.minimum(max(n, 1) / np.maximum(counts, 1), COMMON))).astype(np.float32)
+    def __init__(self, counts: np.ndarray, n: int, common: float = COMMON):
+        self.idf = (1 + np.log(np.minimum(max(n, 1) / np.maximum(counts, 1), common))).astype(np.float32)
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        a, b = _cells(hashes)
+        a, b = _cells(hashes, self.idf.shape[1])
         return np.maximum(self.idf[0][a], self.idf[1][b])
 
 
@@ -94,22 +97,24 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """The sketch, 2 x CELLS, and the number of documents."""
+    """The sketch, 2 x cells, and the number of documents."""
+    mean = texts.agg(F.avg(F.octet_length("text"))).first()[0] or 0.0
+    size = min(MOST_CELLS, max(CELLS, 1 << int(16 * mean).bit_length()))
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, n = np.zeros((2, CELLS), np.int64), 0
+        cells, n = np.zeros((2, size), np.int64), 0
         for part in parts:
             n += part.num_rows
             for _, _, data, offsets in batches(part.column(0)):
                 _, hashes, _ = shingles(data, offsets)
-                for row, at in zip(cells, _cells(hashes)):
-                    row += np.bincount(at, minlength=CELLS)
+                for row, at in zip(cells, _cells(hashes, size)):
+                    row += np.bincount(at, minlength=size)
         flat = np.append(cells.ravel(), n)
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["cell", "n"])
 
-    found = texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # 2 * CELLS + 1 rows at most
-    flat = np.zeros(2 * CELLS + 1, np.int64)
+    found = texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # 2 * MOST_CELLS + 1 rows at most
+    flat = np.zeros(2 * size + 1, np.int64)
     flat[found.cell.to_numpy()] = found.n.to_numpy()
     return flat[:-1].reshape(2, CELLS), int(flat[-1])
 
@@ -234,10 +239,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _classes(docs: DataFrame, threshold: float, bands: int) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, threshold: float, bands: int, common: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of each row, and node, doc_id (its least), label (of its component) of each different text."""
     texts = _texts(docs)
-    weights = Weights(*document_frequencies(texts))
+    weights = Weights(*document_frequencies(texts), common)
     rows = staged(sketches(texts, weights, bands), "sketches")
     nodes = staged(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("n")), "nodes")
     every = nodes.filter("keys IS NOT NULL").select("node", "keys", F.posexplode("keys").alias("band", "bucket")).select("node", "keys", "band", "bucket")
@@ -328,23 +333,23 @@ def _named(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
     return named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def classes(docs: DataFrame, *, threshold: float = 0.8, bands: int = 10) -> DataFrame:
+def classes(docs: DataFrame, *, threshold: float = 0.8, bands: int = 10, common: float = COMMON) -> DataFrame:
     """doc_id, node (SHA-256 of the text), class_id, class_size (rows): a row per document."""
-    rows, named = _classes(docs, threshold, bands)
+    rows, named = _classes(docs, threshold, bands, common)
     groups = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
     of = named.join(groups, "label").select("node", "class_id", "class_size")
     return rows.select("doc_id", "node").join(of, "node").select("doc_id", "node", "class_id", "class_size")
 
 
-def deduplicate(docs: DataFrame, *, threshold: float = 0.8, bands: int = 10) -> DataFrame:
+def deduplicate(docs: DataFrame, *, threshold: float = 0.8, bands: int = 10, common: float = COMMON) -> DataFrame:
     """The rows of docs that stay: of each class the one with the least doc_id (null only if all are), of rows equal in
     doc_id and text one. Where several texts of a class share that id, the text with the least SHA-256 stays."""
-    rows, named = _classes(docs, threshold, bands)
-    first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.node").alias("_of"))
-    same = lambda i, n: F.col(i).eqNullSafe(F.col("_id")) & (F.col(n) == F.col("_of"))
-    first = staged(rows.join(first, same("doc_id", "node")).groupBy("_id", "_of").agg(F.count(F.lit(1)).alias("_rows")), "first")
-    keyed = docs.withColumn("_long", F.col("doc_id").cast("long")).withColumn("_node", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    kept = keyed.join(first.filter("_rows = 1"), same("_long", "_node"), "left_semi")
-    if not first.filter("_rows > 1").isEmpty():
-        kept = kept.unionByName(keyed.join(first.filter("_rows > 1"), same("_long", "_node"), "left_semi").dropDuplicates(["_long", "_node"]))
-    return kept.drop("_long", "_node")
+    rows, named = _classes(docs, threshold, bands, common)
+    first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node")).alias("x")).select(F.col("x.doc_id").alias("id"), F.col("x.node").alias("of"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("node") == F.col("of"))
+    first = staged(rows.join(first, same).groupBy("id", "of").agg(F.count(F.lit(1)).alias("rows")), "first")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("node"))
+    kept = keyed.join(first.filter("rows = 1"), same, "left_semi")
+    if not first.filter("rows > 1").isEmpty():
+        kept = kept.unionByName(keyed.join(first.filter("rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "node"]))
+    return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns])

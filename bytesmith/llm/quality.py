@@ -10,9 +10,12 @@ sparse sites stay at their parent's rate. A document's own part is taken out of
 the evidence plus `site_weight` times the path's log odds over the global ones; documents below `bound` are rejected.
 
 Host and path are given as columns (for documents, source and lang). Nulls in them are sites of their own. A null or empty
-text, or one without words, is rejected: score 0. Repeated rows and null ids are scored as they are. Rows whose doc_id has several labels
-count with their mean. Without any labels of both kinds the classifier can't be fitted, and an error says so; an empty table gives
-no rows. Other columns pass through, but for any called evidence, site_rate, score or keep, which the results replace."""
+text, or one without words, is rejected: score 0. Repeated rows, ties and null ids are scored as they are. Rows whose doc_id has several labels
+count with their mean. An empty table gives no rows. Where documents have no labels of both kinds nothing can be fitted: texts with words then have
+evidence 0, sites say nothing, and score is 0.5. Other columns pass through, whatever their names, but for any called evidence,
+site_rate, score or keep, which the results replace.
+
+The labelled sample is found in one pass, by a broadcast of at most SAMPLE ids; evidence is computed in a second, which stages it beside the rows."""
 
 from __future__ import annotations
 
@@ -82,8 +85,6 @@ class Logistic:
     """Logistic regression on standardised features, by Newton's method with a ridge."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 3.0, rounds: int = 40):
-        if len(set((y > 0.5).tolist())) < 2:
-            raise ValueError("the classifier needs labels of both kinds")
         self.mean, self.std = x.mean(axis=0), x.std(axis=0) + 1e-6
         z = self._with_one(x)
         self.w = np.zeros(z.shape[1])
@@ -103,11 +104,19 @@ class Logistic:
         return np.clip(self._with_one(x) @ self.w, -30, 30)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Logistic:
+class Unfitted:
+    """What stands for the classifier where there are no labels of both kinds."""
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.zeros(len(x))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Logistic | Unfitted:
     """The classifier, from at most `sample` labelled documents (the least by hashed id)."""
-    known = labels.filter(F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.avg(label).alias("_label"))
-    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select("_label", "text")
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.avg(F.col(label).cast("double")).alias("label"))
+    chosen = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(sample))  # `sample` rows of two numbers
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = texts.join(chosen, F.col("doc_id") == F.col("id")).select("label", "text")
 
     def look(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -115,13 +124,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
 
     found = rows.mapInArrow(look, "label double, x array<double>").toPandas()  # `sample` rows, more only where ids repeat
-    if not len(found):
-        raise ValueError("the classifier needs labels of both kinds")
+    y = found.label.to_numpy(float)
+    if not len(found) or len(set((y > 0.5).tolist())) < 2:
+        return Unfitted()
     order = np.lexsort(np.stack(found.x.to_numpy()).T[::-1])  # the same sums in any order of the rows
-    return Logistic(np.stack(found.x.to_numpy())[order], found.label.to_numpy(float)[order])
+    return Logistic(np.stack(found.x.to_numpy())[order], y[order])
 
 
-def evidence_udf(model: Logistic):
+def evidence_udf(model: Logistic | Unfitted):
     """Log odds of good quality by the text alone."""
 
     @F.arrow_udf("double")
@@ -168,21 +178,27 @@ def sites(scored: DataFrame) -> tuple[DataFrame, Priors]:
     return both, Priors(rate, _strength(h.spread, (h.k - 1) * v, top.n - h.squares / top.n, v), _strength(p.spread, (p.k - h.k) * v, top.n - p.squares, v))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", label: str = "quality", site_weight: float = 1.0, bound: float = 0.5) -> DataFrame:
+RESULTS = ("evidence", "site_rate", "score", "keep")
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", label: str = "quality", site_weight: float = 1.0, bound: float = 0.5, carry: list[str] | None = None) -> DataFrame:
     """docs with `evidence`, `site_rate`, `score` (the posterior probability of good quality) and `keep`.
 
-    The table of sites meets the documents in a join on (host, path): Spark broadcasts it only below its own size
-    threshold, and else splits a site that fills many rows."""
-    evidence = evidence_udf(fit(docs, labels, label))
-    scored = docs.select(F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), evidence("text").alias("evidence"))
-    table, priors = sites(scored)
-    table = table.select(*[F.col(c).alias(f"_{c}") for c in ("host", "path", "n", "s", "host_n", "host_s")])
-    joined = docs.withColumn("evidence", evidence("text")).join(table, F.col(host).cast("string").eqNullSafe(F.col("_host")) & F.col(path).cast("string").eqNullSafe(F.col("_path")), "left")
+    carry: the columns of docs that are wanted in the result, all if None. The table of sites meets the documents in a join on (host, path): Spark
+    broadcasts it only below its own size threshold, and else splits a site that fills many rows."""
+    model = fit(docs, labels, label)
+    evidence, site_weight = evidence_udf(model), 0.0 if isinstance(model, Unfitted) else site_weight
+    kept = [c for c in docs.columns if c not in RESULTS and (carry is None or c in carry)]
+    rows = docs.select(F.struct(F.lit(0).alias("some"), *[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{path}`").cast("string").alias("path"), F.col("text"))
+    scored = staged(rows.select("row", "host", "path", evidence("text").alias("evidence")), "evidence")
+    table, priors = sites(scored.select("host", "path", "evidence"))
+    table = table.select(F.col("host").alias("h"), F.col("path").alias("p"), F.struct("n", "s", "host_n", "host_s").alias("site"))
+    joined = scored.join(table, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")), "left")
     mine = 1 / (1 + F.exp(-F.col("evidence")))
-    at_host = (F.col("_host_s") - mine + priors.host * priors.rate) / (F.col("_host_n") - 1 + priors.host)
-    at_path = (F.col("_s") - mine + priors.path * at_host) / (F.col("_n") - 1 + priors.path)
+    at_host = (F.col("site.host_s") - mine + priors.host * priors.rate) / (F.col("site.host_n") - 1 + priors.host)
+    at_path = (F.col("site.s") - mine + priors.path * at_host) / (F.col("site.n") - 1 + priors.path)
     odds = lambda p: F.log(p / (1 - p))
-    rate = F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), at_path))
-    posterior = F.col("evidence") + site_weight * (odds(F.col("site_rate")) - float(np.log(priors.rate / (1 - priors.rate))))
+    joined = joined.withColumn("rate", F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), at_path)))
+    posterior = F.col("evidence") + site_weight * (odds(F.col("rate")) - float(np.log(priors.rate / (1 - priors.rate))))
     score = F.when(F.col("evidence") <= NO_WORDS, F.lit(0.0)).otherwise(1 / (1 + F.exp(-posterior)))
-    return joined.withColumn("site_rate", rate).withColumn("score", score).withColumn("keep", F.col("score") >= bound).select(*[f"`{c}`" for c in docs.columns if c not in ("evidence", "site_rate", "score", "keep")], "evidence", "site_rate", "score", "keep")
+    return joined.withColumn("probability", score).select(*[F.col(f"row.`{c}`") for c in kept], "evidence", F.col("rate").alias("site_rate"), F.col("probability").alias("score"), (F.col("probability") >= bound).alias("keep"))

@@ -65,7 +65,7 @@ def op6_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "evidence", "site_rate", "score", "keep")
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,8 +232,9 @@ def test_quality_held_out(spark):
     held = [(r.keep, r.doc_id < n) for r in got if r.doc_id % 2 and r.doc_id < n + n // 3]
     assert np.mean([a == b for a, b in held]) > 0.97
     assert all(not r.keep and r.score == 0 for r in got if r.doc_id >= n + n // 3) and all(0 < r.site_rate < 1 for r in got)
-    with pytest.raises(ValueError, match="both kinds"):
-        quality.classify(docs, labels.filter("quality = 1")).count()
+    for few in (labels.filter("quality = 1"), labels.limit(0)):  # nothing can be fitted
+        got = quality.classify(docs, few).collect()
+        assert [r.keep for r in sorted(got, key=lambda r: r.doc_id)] == [True] * (n + n // 3) + [False] * 3 and {r.evidence for r in got} == {0.0, quality.NO_WORDS}
 
 
 def test_sparse_sites_shrink(spark):
