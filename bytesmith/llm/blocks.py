@@ -1,23 +1,27 @@
-"""Pairs of a block of queries and a block of rows, for searches of a stated query set against all rows.
+"""Blocks of rows with an index each, and queries that stream past them: searches of a stated query set against all rows.
 
-Rows are dealt into blocks by a hash of their id and queries likewise; each pair of blocks meets in one group, so the
-size of a group is bounded whatever the data. No pair of rows leaves a group: only the k best of each query do.
+Rows are dealt into blocks by a hash of their id. Each row is shuffled once, into its block, and each query once for every block; a task sorts
+its blocks' rows before their queries, builds a block's index once and lets the queries pass it, a batch at a time. So a task holds one block
+and one batch, whatever the data, and work is queries times rows, as a search of a given query set against all rows has it.
+Only the k best of each query and block leave a task.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, on either side; so do rows without
 an id. If lengths differ, a query meets the rows of its own length only. Repeated rows are candidates each, but rows
-with the query's own id are not; a repeated query id is searched once for each different vector. An empty table
-gives no rows; other columns are ignored."""
+with the query's own id are not; a repeated query id is searched once for each different vector. Ties go to the smaller id. An empty table
+gives no rows; other columns are ignored, whatever their names."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], list[tuple[np.ndarray, np.ndarray]]]
+#: index(ids, matrix) gives search(query_ids, query_matrix), which gives (ids, scores) of the best of each query.
+Search = Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]
+Index = Callable[[np.ndarray, np.ndarray], Search]
 
 
 def usable(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -26,29 +30,46 @@ def usable(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -
     return rows.filter(fine).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
 
 
-def best_of_blocks(queries: DataFrame, rows: DataFrame, search: Search, k: int, *, score: str, largest: bool, block_rows: int = 8192, block_queries: int = 2048) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best by score, ties to the smaller vec_id.
-
-    search(ids, matrix, query_ids, query_matrix, k) gives (ids, scores) for each query of a block; `score` is the type."""
-    n, m = rows.count(), queries.count()
-    if not n or not m:
-        return queries.sparkSession.createDataFrame([], f"query_id long, rank int, vec_id long, score {score}")
-    row_blocks, query_blocks = -(-n // block_rows), -(-m // block_queries)
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    block = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
-    left = rows.withColumn("rb", block(row_blocks)).withColumn("qb", every(query_blocks)).withColumn("dim", F.size("v"))
-    right = queries.dropDuplicates().withColumn("no", F.xxhash64("v")).withColumn("qb", block(query_blocks)).withColumn("rb", every(row_blocks)).withColumn("dim", F.size("v"))
-
-    def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            a = a.sort_values("vec_id", kind="stable")
-            found = search(a.vec_id.to_numpy(np.int64), np.stack(a.v.to_numpy()), b.vec_id.to_numpy(np.int64), np.stack(b.v.to_numpy()), k)
-            for i, (q, (ids, scores)) in enumerate(zip(b.vec_id, found)):
-                out.append(pd.DataFrame({"query_id": q, "query_no": b.no.iloc[i], "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "query_no": [], "vec_id": [], "score": []}).astype("int64")
-
-    parts = left.groupBy("rb", "qb", "dim").cogroup(right.groupBy("rb", "qb", "dim")).applyInPandas(meet, f"query_id long, query_no long, vec_id long, score {score}")
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def best_of_blocks(queries: DataFrame, rows: DataFrame, index: Index, k: int, *, score: str, largest: bool, block_rows: int = 8192) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best by score, ties to the smaller vec_id; `score` is the type."""
+    n = rows.count()
+    blocks = max(1, -(-n // block_rows))
+    own = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    both = rows.select(own.alias("block"), F.lit(0).alias("kind"), "vec_id", F.lit(0).cast("long").alias("no"), "v").unionByName(
+        queries.dropDuplicates().select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "vec_id", F.xxhash64("v").alias("no"), "v")
+    )
+    dealt = both.withColumn("dim", F.size("v")).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "dim", "kind", "vec_id")
+    kind_of = pa.int64() if score == "long" else pa.float64()
+
+    def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, search = None, [], None
+        for part in parts:
+            keys = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in ("block", "dim", "kind")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), part.num_rows] if part.num_rows else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                (block, dim, kind), some = keys[lo].tolist(), part.slice(lo, hi - lo)
+                if (block, dim) != at:
+                    at, held, search = (block, dim), [], None
+                if kind == 0:
+                    held.append((some.column("vec_id").to_numpy(), _matrix(some.column("v"))))
+                    continue
+                if not held and search is None:
+                    continue  # no row of the block has this length
+                if search is None:
+                    search, held = index(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])), []
+                ids, numbers = some.column("vec_id").to_numpy(), some.column("no").to_numpy()
+                found = search(ids, _matrix(some.column("v")))
+                sizes = [len(i) for i, _ in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids, sizes)), pa.array(np.repeat(numbers, sizes)), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]), kind_of)],
+                    ["query_id", "query_no", "vec_id", "score"],
+                )
+
+    parts = dealt.mapInArrow(meet, f"query_id long, query_no long, vec_id long, score {score}")
     # k rows of each block and query meet here, not all pairs.
     order = Window.partitionBy("query_id", "query_no").orderBy(F.col("score").desc() if largest else F.col("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

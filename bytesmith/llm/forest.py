@@ -5,7 +5,10 @@ each, a bit being the side of a random hyperplane through the median of a sample
 rows with the longest prefix in common and then all trees ascend together, one prefix bit at a time, until
 `candidates` different rows are marked; all rows of the last level count, so ties in the prefix are never cut.
 The marked rows are scored exactly. Every row is in every tree of its block; copies of one vector share
-all prefixes, so a group of copies is found whole, and the smallest ids among them win."""
+all prefixes, so a group of copies is found whole, and the smallest ids among them win.
+
+Null, empty, zero and non-finite vectors, unequal lengths, repeated rows and ids, empty tables and clashing names are treated as blocks.py says.
+How much of a block must be marked for a recall of 0.9 depends on the vectors: the more they cluster, the smaller `share` can be."""
 
 from __future__ import annotations
 
@@ -57,19 +60,24 @@ class Forest:
             yield np.flatnonzero(marked)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, *, trees: int = 48, share: float = 0.4, least: int = 1024, block_rows: int = 8192, block_queries: int = 2048) -> DataFrame:
-    """The k nearest found of each query. At least `least` rows of a block and `share` of them are scored.
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, *, trees: int = 48, share: float = 0.4, least: int = 64, block_rows: int = 8192) -> DataFrame:
+    """The k nearest found of each query. At least `least` rows of a block and `share` of them are marked and scored.
 
     A zero vector takes no part. Scores are Euclidean distances in double precision, of the original vectors."""
 
-    def search(ids, x, qids, q, k):
-        forest, out = Forest(x, trees), []
-        for i, near in enumerate(forest.candidates(q, max(least, int(share * len(x))))):
-            near = near[ids[near] != qids[i]]
-            d = np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
-            best = smallest(d, ids[near], k)
-            out.append((ids[near][best], d[best]))
-        return out
+    def index(ids: np.ndarray, x: np.ndarray):
+        forest = Forest(x, trees)
+
+        def search(qids: np.ndarray, q: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+            out = []
+            for i, near in enumerate(forest.candidates(q, max(least, int(share * len(x))))):
+                near = near[ids[near] != qids[i]]
+                d = np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
+                best = smallest(d, ids[near], k)
+                out.append((ids[near][best], d[best]))
+            return out
+
+        return search
 
     some = lambda df: usable(df).filter(F.exists("v", lambda x: x != 0))
-    return best_of_blocks(some(queries), some(rows), search, k, score="double", largest=False, block_rows=block_rows, block_queries=block_queries)
+    return best_of_blocks(some(queries), some(rows), index, k, score="double", largest=False, block_rows=block_rows)

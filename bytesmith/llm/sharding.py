@@ -2,26 +2,34 @@
 
 Documents with equal texts form a group and stay together; null texts form a group of their own, of no bytes.
 A document's size is its text's UTF-8 bytes plus `overhead`. Groups of equal size are interchangeable for the
-schedule, so the driver gets only a histogram (size, number of groups). S distinct sizes sum to over S*S/2 bytes,
-so 100 TB have at most 14 million and usually far fewer. For each size the schedule says how many of its groups
-each shard takes, just as a heap would one by one; within a size, groups are dealt by their digest. Repeated rows
-are rows of their own; an empty table gives no rows; other columns are ignored."""
+schedule, so the driver sees only a histogram (size, number of groups), which it reads in descending order, a partition at a time. It keeps
+the shards' loads and CHUNK sizes, whose part of the schedule it writes out before it reads on; so what it holds doesn't grow
+with the data. For each size the schedule says how many of its groups
+each shard takes, just as a heap would one by one; within a size, groups are dealt by their digest. Null ids, repeated rows and ties
+are rows of their own; an empty table gives no rows; other columns are ignored, whatever their names."""
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, staged
+from .common import new_path, ranked, staged
 
 
-def schedule(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, list[int], list[int]]]:
+#: Distinct sizes of which the driver holds the schedule at a time.
+CHUNK = 50_000
+PLAN = "group_size long, to array<int>, upto array<long>"
+
+
+def schedule(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int], list[int]]]:
     """For (size, count), largest first: (size, the shards that take some, the cumulated counts)."""
-    loads, out = [(0, k) for k in range(shards)], []
+    loads = [(0, k) for k in range(shards)]
     for size, count in sizes:
         if count <= 4 * shards:
             took: dict[int, int] = {}
@@ -43,13 +51,21 @@ def schedule(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, list[
             loads = [(b + took[k] * size, k) for k, b in base.items()]
             heapq.heapify(loads)
         ks = sorted(k for k, n in took.items() if n)
-        out.append((size, ks, np.cumsum([took[k] for k in ks]).tolist()))
-    return out
+        yield size, ks, np.cumsum([took[k] for k in ks]).tolist()
+
+
+def _planned(groups: DataFrame, shards: int) -> DataFrame:
+    """The schedule for groups with group_size, as a staged table."""
+    spark, path = groups.sparkSession, new_path(groups.sparkSession, "plan")
+    sizes = staged(groups.groupBy("group_size").agg(F.count(F.lit(1)).alias("n")), "sizes").orderBy(F.col("group_size").desc())
+    steps = schedule(((r.group_size, r.n) for r in sizes.toLocalIterator()), shards)
+    while chunk := list(islice(steps, CHUNK)):
+        spark.createDataFrame(pd.DataFrame(chunk, columns=["group_size", "to", "upto"]), PLAN).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(PLAN).parquet(path) if not groups.isEmpty() else spark.createDataFrame([], PLAN)
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, overhead: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (gapless in a shard, by doc_id), grown_shard."""
-    spark = docs.sparkSession
     data = F.encode("text", "UTF-8")
     rows = staged(
         docs.select(
@@ -60,9 +76,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, overhead: int = 8) -> Dat
     )
     groups = rows.groupBy("digest").agg(F.sum("size").alias("group_size"))
     numbered = staged(ranked(groups, ["group_size"], ["digest"]), "groups")
-    sizes = numbered.groupBy("group_size").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("group_size", ascending=False)
-    plan = schedule(list(zip(sizes.group_size.tolist(), sizes.n.tolist())), shards)
-    plans = spark.createDataFrame(pd.DataFrame(plan, columns=["group_size", "to", "upto"]), "group_size long, to array<int>, upto array<long>")
+    plans = _planned(numbered, shards)
     placed = numbered.join(plans, "group_size").select("digest", F.expr("to[size(filter(upto, x -> x <= rank_in_group))]").alias("shard"))
     # The hot digest is on the rows' side; Spark splits it at run time.
     sharded = rows.join(placed, "digest").select("doc_id", "size", "text_crc32", "shard")

@@ -7,7 +7,9 @@ dimensions are processed by descending impact, adding each row's lower bound. Wh
 the sum over dimensions of the impact at which each list stands, and the widths of the segments. Segments are taken in rounds of
 falling impact; after a round, rows whose upper bound is below the k-th lower bound are ruled out for good. Processing stops
 once that proof leaves few rows, or when all segments are done; all rows not ruled out are then scored
-exactly in 64-bit integers."""
+exactly in 64-bit integers; components or scores that wouldn't fit are an error.
+
+Null, empty and non-finite vectors, unequal lengths, repeated rows and ids, ties, empty tables and clashing names are treated as blocks.py says."""
 
 from __future__ import annotations
 
@@ -25,6 +27,7 @@ class ImpactIndex:
         self.rows, self.levels = rows, levels
         d = rows.shape[1]
         self.low, self.high = rows.min(axis=0), rows.max(axis=0)
+        self.greatest = float(max(np.abs(self.low.astype(float)).max(), np.abs(self.high.astype(float)).max(), (self.high.astype(float) - self.low).max()))
         self.step = np.maximum(1, -(-(self.high - self.low + 1) // levels))
         level = (rows - self.low) // self.step
         self.order = np.ascontiguousarray(np.argsort(level, axis=0, kind="stable").T)
@@ -62,16 +65,33 @@ class ImpactIndex:
         return free, self.rows[free] @ q
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1024, levels: int = 64, block_rows: int = 8192, block_queries: int = 2048) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, *, scale: int = 1024, levels: int = 64, block_rows: int = 8192) -> DataFrame:
     """The k highest inner products of each query with all rows but those with its id, exactly."""
 
-    def search(ids, x, qids, q, k):
-        whole = lambda m: np.floor(m * scale).astype(np.int64)
-        index, out = ImpactIndex(whole(x), levels), []
-        for qid, v in zip(qids, whole(q)):
-            free, scores = index.best(v, k, np.flatnonzero(ids == qid))
-            best = smallest(-scores, ids[free], k)
-            out.append((ids[free][best], scores[best]))
-        return out
+    def index(ids: np.ndarray, x: np.ndarray):
+        posted, size = ImpactIndex(_whole(x, scale), levels), x.shape[1]
+
+        def search(qids: np.ndarray, q: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+            out = []
+            for qid, v in zip(qids, _whole(q, scale)):
+                if float(np.abs(v).max()) * posted.greatest * size >= LARGE:
+                    raise OverflowError(f"a score of query {qid} may not fit into 64 bits")
+                free, scores = posted.best(v, k, np.flatnonzero(ids == qid))
+                best = smallest(-scores, ids[free], k)
+                out.append((ids[free][best], scores[best]))
+            return out
+
+        return search
+
+    return best_of_blocks(usable(queries), usable(rows), index, k, score="long", largest=True, block_rows=block_rows)
+
+
+#: Scores and bounds below this fit into 64 bits with room for their sums.
+LARGE = float(1 << 60)
+
 
-    return best_of_blocks(usable(queries), usable(rows), search, k, score="long", largest=True, block_rows=block_rows, block_queries=block_queries)
+def _whole(m: np.ndarray, scale: int) -> np.ndarray:
+    scaled = np.floor(m * scale)
+    if np.abs(scaled).max(initial=0) >= LARGE:
+        raise OverflowError("a component is too large for 64 bits")
+    return scaled.astype(np.int64)

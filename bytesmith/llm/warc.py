@@ -6,11 +6,13 @@ responses and the others are revisits that refer to it. A null page_id counts as
 are null, all are responses. Repeated rows with the largest page_id are all responses. A null url is
 written as an empty target URI. An empty table gives an archive without files. Other columns are ignored.
 
-Which shard a row goes to depends on the data alone: the span of page_id is cut into at most SPANS equal
-ranges, and consecutive ranges are put together up to `shard_bytes`. A shard's rows are sorted and streamed into
+Which shard a row goes to depends on the data alone: rows are in the order of (page_id, digest), and ranges of it are split at the widest bit in
+which their rows differ, until each holds at most `shard_bytes` or equal keys alone; neighbours are then put together up to `shard_bytes`.
+Beyond SHARDS * shard_bytes in all, shards grow instead of their number. A shard is one task, whose rows are sorted and streamed into
 files that roll over at `roll_bytes` compressed bytes, one gzip member a record. A task writes under temporary
 names and renames when a file is whole; the manifest, written by Spark's own commit protocol after that,
-names the files that count. A retried or speculative task writes the same bytes under the same names."""
+names the files that count. A retried or speculative task writes the same bytes under the same names. Temporary names
+are deleted in the end."""
 
 from __future__ import annotations
 
@@ -19,22 +21,93 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPANS = 1 << 16
+from .common import drop_tree, staged
+
+#: Shards at most; bits by which the first round of splitting tells ranges apart, and later ones; bytes counted for a record's headers.
+SHARDS, FIRST_BITS, BITS, HEADERS = 1 << 15, 16, 4, 512
 RECORD_IDS = uuid.UUID("8d2f8a52-5f0c-4b43-9d0e-0b6f1f1d7c11")
 MANIFEST = "file string, shard long, records long, file_bytes long, file_sha256 string"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string, record_id string"
 
 
-def _spans(pages: DataFrame) -> tuple[DataFrame, int, int]:
-    """(page_id range -> shard), the least page_id and the width of a range."""
-    lo, hi = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    lo, hi = lo or 0, hi or 0
-    return lo, max(1, -(-(hi - lo + 1) // SPANS))
+class Ranges:
+    """Ascending bounds of ranges of (page_id, digest); a digest counts by its first 64 bits, and a null page_id as the least number."""
+
+    def __init__(self, bounds: list[int]):
+        self.high = np.array([(b >> 64) - (1 << 63) for b in bounds], np.int64)
+        self.low = np.array([b & MASK for b in bounds], np.uint64)
+
+    def locate(self, pages: np.ndarray, digests: np.ndarray) -> np.ndarray:
+        """The range that each key is in: the last one whose bound isn't above it."""
+        first, last = np.searchsorted(self.high, pages, "left"), np.searchsorted(self.high, pages, "right")
+        single = last - first == 1
+        out = last.copy()
+        out[single] = first[single] + (self.low[first[single]] <= digests[single])
+        for at in np.unique(first[last - first > 1]).tolist():
+            here = (first == at) & (last - first > 1)
+            out[here] = at + np.searchsorted(self.low[at : int(last[here][0])], digests[here], "right")
+        return out - 1
+
+
+MASK = (1 << 64) - 1
+
+
+def _keys(pages: pa.Array, digests: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return pages.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), np.array([int(d[:16], 16) for d in digests.to_pylist()], np.uint64)
+
+
+def _measured(heads: DataFrame, ranges: Ranges) -> list[tuple[int, int, int, int]]:
+    """For each range with rows, in order: (its number, bytes, least key, greatest key)."""
+
+    def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list] = {}
+        for part in parts:
+            pages, digests = _keys(part.column(0), part.column(1))
+            order = np.lexsort((digests, pages))
+            at, n = ranges.locate(pages, digests)[order], part.column(2).to_numpy()[order]
+            pages, digests = pages[order], digests[order]
+            cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)]):
+                least, most = ((int(pages[i]) + (1 << 63)) << 64 | int(digests[i]) for i in (lo, hi - 1))
+                kept = found.setdefault(int(at[lo]), [0, least, most])
+                kept[:] = kept[0] + int(n[lo:hi].sum()), min(kept[1], least), max(kept[2], most)
+        text = lambda i: pa.array([f"{v[i]:032x}" for v in found.values()], pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([v[0] for v in found.values()], pa.int64()), text(1), text(2)], ["at", "n", "least", "most"])
+
+    parts = heads.select("page_id", "digest", "n").mapInArrow(measure, "at long, n long, least string, most string")
+    return [(r.at, r.n, int(r.least, 16), int(r.most, 16)) for r in parts.groupBy("at").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).orderBy("at").collect()]
+
+
+def shard_ranges(heads: DataFrame, shard_bytes: int) -> Ranges:
+    """The ranges of the shards, from rows of (page_id, digest, n bytes).
+
+    A round asks about the ranges that are still too large, in 2 ** BITS parts each: at most SHARDS * 2 ** BITS rows for the driver."""
+    parts = [(n, least, most) for _, n, least, most in _measured(heads, Ranges([0]))]
+    limit, bits = max(shard_bytes, sum(n for n, _, _ in parts) // SHARDS), FIRST_BITS
+    while any(n > limit and least < most for n, least, most in parts):
+        bounds, known = [], {}
+        for n, least, most in parts:
+            if n > limit and least < most:
+                shift = max(0, (least ^ most).bit_length() - bits)
+                bounds += [least, *(k << shift for k in range((least >> shift) + 1, (most >> shift) + 1))]
+            else:
+                known[len(bounds)] = (n, least, most)
+                bounds.append(least)
+        large = {at: (n, least, most) for at, n, least, most in _measured(heads, Ranges(bounds)) if at not in known}
+        parts, bits = [part for _, part in sorted((known | large).items())], BITS
+    shards, filled = [0], 0
+    for n, least, _ in parts:
+        if filled and filled + n > limit:
+            shards.append(least)
+            filled = 0
+        filled += n
+    return Ranges(shards)
 
 
 def write_warc(pages: DataFrame, out: str, *, shard_bytes: int = 64 << 20, roll_bytes: int = 16 << 20,
@@ -45,18 +118,14 @@ def write_warc(pages: DataFrame, out: str, *, shard_bytes: int = 64 << 20, roll_
         F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"),
         F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
-    lo, width = _spans(rows)
-    span = F.coalesce(((F.col("page_id") - lo) / width).cast("long"), F.lit(0))
-    sizes = rows.groupBy(span.alias("span")).agg(F.sum(F.octet_length("payload") + 512).alias("n")).orderBy("span").collect()  # SPANS rows at most
-    shards, shard, filled = [], 0, 0
-    for s, n in sizes:
-        if filled and filled + n > shard_bytes:
-            shard, filled = shard + 1, 0
-        filled += n
-        shards.append((s, shard))
-    shard_of = F.broadcast(spark.createDataFrame(shards, "span long, shard long"))  # SPANS rows at most
+    heads = staged(rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("size")), "heads")
+    ranges = shard_ranges(heads.withColumn("n", F.col("size") + HEADERS), shard_bytes)
+
+    @F.arrow_udf("int")
+    def shard_of(page: pa.Array, digest: pa.Array) -> pa.Array:
+        return pa.array(ranges.locate(*_keys(page, digest)).astype(np.int32))
 
-    large = rows.filter(F.octet_length("payload") >= min_revisit).select("page_id", "digest", "url")
+    large = heads.filter(F.col("size") >= min_revisit).select("page_id", "digest", "url")
     groups = (
         large.groupBy("digest")
         .agg(F.max(F.struct("page_id", "url")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -72,7 +141,7 @@ def write_warc(pages: DataFrame, out: str, *, shard_bytes: int = 64 << 20, roll_
     both = rows.select("page_id", "digest", F.lit(1).alias("kind"), "url", "payload", nothing("long").alias("refers_to"), nothing("string").alias("refers_url")).unionByName(
         revisits.select("page_id", "digest", F.lit(0).alias("kind"), nothing("string").alias("url"), nothing("binary").alias("payload"), "refers_to", "refers_url")
     )
-    dealt = both.withColumn("span", span).join(shard_of, "span").repartition(max(1, shard + 1), "shard").sortWithinPartitions("shard", "page_id", "kind", "digest", "url")
+    dealt = both.withColumn("shard", shard_of("page_id", "digest")).repartitionById(len(ranges.high), F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "digest", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = _Writer(out, roll_bytes, date, level)
@@ -82,6 +151,7 @@ def write_warc(pages: DataFrame, out: str, *, shard_bytes: int = 64 << 20, roll_
 
     manifest = dealt.select("shard", "page_id", "kind", "digest", "url", "payload", "refers_to", "refers_url").mapInArrow(write, MANIFEST)
     manifest.write.parquet(f"{out}/manifest")
+    drop_tree(spark, f"{out}/_temporary")
     return spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
 
 

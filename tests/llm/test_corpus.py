@@ -3,6 +3,7 @@
 import hashlib
 import heapq
 import math
+import os
 import zlib
 from itertools import combinations
 
@@ -17,6 +18,9 @@ from bytesmith.llm.common import new_path, ranked
 from bytesmith.llm.shingles import batches, shingles, words
 
 
+TESTDATA = os.environ.get("TESTDATA_DIR", "/root/testdata")
+
+
 def docs_of(spark, texts, extra="node"):
     return spark.createDataFrame([(i, t, "e", "en", "s", 1) for i, t in enumerate(texts)], f"doc_id long, text string, {extra} string, lang string, source string, n_chars long")
 
@@ -38,7 +42,7 @@ def test_schedule_is_that_of_a_heap():
             heapq.heapreplace(heap, (load + s, k))
     want = {k: load for load, k in heap}
     got = dict.fromkeys(range(5), 0)
-    for size, to, upto in sharding.schedule(sizes, 5):
+    for size, to, upto in sharding.schedule(iter(sizes), 5):
         for k, n in zip(to, np.diff([0, *upto])):
             got[k] += size * int(n)
     assert got == want
@@ -75,7 +79,7 @@ def vectors(spark, extra=True):
 
 def test_topk_is_exact(spark):
     df, x = vectors(spark)
-    got = topk.top_k(df, df.filter("vec_id % 100 = 0"), 10, block_rows=200, block_queries=4).toPandas()
+    got = topk.top_k(df, df.filter("vec_id % 100 = 0"), 10, block_rows=200).toPandas()
     q = np.floor(x.astype(np.float64) * 1024).astype(np.int64)
     for i in range(0, 900, 100):
         s = q @ q[i]
@@ -87,6 +91,29 @@ def test_topk_is_exact(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_refuses_what_does_not_fit(spark):
+    df = spark.createDataFrame([(0, [1e10, 1.0]), (1, [1e10, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(df, df).collect()
+
+
+def test_forest_with_production_parameters(spark):
+    """Recall at 10 over the given vectors, which hardly cluster, with the query's own parameters."""
+    from bytesmith.llm.queries import op6_forest
+
+    for sf in ("sf0.001", "sf0.1"):
+        rows = spark.read.parquet(f"{TESTDATA}/{sf}/embeddings.parquet").select("vec_id", "embedding").toPandas().dropna()
+        x, ids = np.stack(rows.embedding.to_numpy()).astype(float), rows.vec_id.to_numpy()
+        got = op6_forest(spark, f"{TESTDATA}/{sf}").toPandas()
+        hits = total = 0
+        for i in np.flatnonzero(ids % 100 == 0):
+            d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+            d[i] = np.inf
+            want = set(ids[np.lexsort((ids, d))[:10]].tolist())
+            hits, total = hits + len(want & set(got[got.query_id == ids[i]].vec_id)), total + 10
+        assert hits >= 0.9 * total, (sf, hits, total)
+
+
 def test_index_proves_its_bound():
     rng = np.random.default_rng(9)
     rows = rng.integers(-600, 600, (3000, 16))
@@ -255,6 +282,19 @@ def test_warc_round_trip(spark):
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_warc_shards_of_skewed_ids(spark):
+    """Far outliers, null ids and one id with many pages still give shards of about the wanted bytes, in order."""
+    ids = [*range(400), 10**15, -(10**17), *[None] * 100, *[77] * 100]
+    rows = spark.createDataFrame([(i, "u", f"{n} " + "x" * 500) for n, i in enumerate(ids)], "page_id long, url string, html string")
+    out = new_path(spark, "warc-test")
+    manifest = warc.write_warc(rows, out, shard_bytes=20_000, roll_bytes=1 << 30).collect()
+    assert len(manifest) > 30 and max(m.records for m in manifest) <= 20 and sum(m.records for m in manifest) == len(ids)
+    got = [(r.file, r.page_id is not None, r.page_id or 0) for r in warc.read_warc(spark, out).collect()]
+    assert sorted(got) == sorted(got, key=lambda r: (r[1], r[2], r[0]))
+    ranges = warc.Ranges([0, (5 + (1 << 63)) << 64, ((5 + (1 << 63)) << 64) | 9, (7 + (1 << 63)) << 64])
+    assert ranges.locate(np.array([-3, 5, 5, 6, 7]), np.array([1, 8, 9, 0, 0], np.uint64)).tolist() == [0, 1, 2, 2, 3]
+
+
 def test_warc_refuses_damage(spark):
     record = warc._record(1, "u", b"payload", hashlib.sha1(b"payload").hexdigest(), None, "2024-01-01T00:00:00Z")
     assert warc.parse_record(record)["payload"] == b"payload"
@@ -271,7 +311,7 @@ def test_warc_of_nothing(spark):
 
 
 def test_pipeline(spark):
-    sf = "/root/testdata/sf0.001"
+    sf = f"{TESTDATA}/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     before = docs
     for name, stage in corpus_pipeline.STAGES:
