@@ -116,7 +116,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     found = texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # 2 * MOST_CELLS + 1 rows at most
     flat = np.zeros(2 * size + 1, np.int64)
     flat[found.cell.to_numpy()] = found.n.to_numpy()
-    return flat[:-1].reshape(2, CELLS), int(flat[-1])
+    return flat[:-1].reshape(2, size), int(flat[-1])
 
 
 def sketches(texts: DataFrame, weights: Weights, bands: int) -> DataFrame:

@@ -189,7 +189,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path:
     model = fit(docs, labels, label)
     evidence, site_weight = evidence_udf(model), 0.0 if isinstance(model, Unfitted) else site_weight
     kept = [c for c in docs.columns if c not in RESULTS and (carry is None or c in carry)]
-    rows = docs.select(F.struct(F.lit(0).alias("some"), *[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{path}`").cast("string").alias("path"), F.col("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept or docs.columns[:1]]).alias("row"), F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{path}`").cast("string").alias("path"), F.col("text"))
     scored = staged(rows.select("row", "host", "path", evidence("text").alias("evidence")), "evidence")
     table, priors = sites(scored.select("host", "path", "evidence"))
     table = table.select(F.col("host").alias("h"), F.col("path").alias("p"), F.struct("n", "s", "host_n", "host_s").alias("site"))
