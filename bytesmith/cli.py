@@ -1,6 +1,7 @@
 """python -m bytesmith.cli VERB ...: parse, diff, detect, strings, entropy, hints, check and dump for single files.
 
-Exit status: 0 if all is well, 1 for a mismatch or an empty result, 2 for wrong use. Runs the operators' own functions, without Spark."""
+Exit status: 0 if all is well, 1 for a mismatch or an empty result, 2 for wrong use. --quiet leaves the status alone. Runs the operators' own
+functions, without Spark."""
 
 from __future__ import annotations
 
@@ -18,8 +19,7 @@ from .plans.language import SchemaError, parse_schema
 from .plans.metadata import order_name
 
 
-class UsageError(ValueError):
-    pass
+VERSION = "0.2.0"
 
 
 def number(text: str) -> int:
@@ -39,15 +39,17 @@ def parse(a: argparse.Namespace) -> int:
     o = program(text).run(Path(a.file).read_bytes(), entry, endian)
     cover = coverage_of(leaf_spans(o.tree), o.total)
     fraction = cover["covered"] / cover["total"] if cover["total"] else 1.0
-    print(outcome_json(o) if a.json else tree_text(o.tree))
+    if not a.quiet:
+        print(outcome_json(o) if a.json else tree_text(o.tree))
+    told = (lambda *x, **y: None) if a.quiet else print
     if o.fault:
-        print(f"fault at {o.fault.path}, offset {o.fault.offset}: {o.fault.message} ({o.fault.kind})", file=sys.stderr)
+        told(f"fault at {o.fault.path}, offset {o.fault.offset}: {o.fault.message} ({o.fault.kind})", file=sys.stderr)
         return 1
     if bad := count_failed(o.tree):
-        print(f"{bad} checksums don't match", file=sys.stderr)
+        told(f"{bad} checksums don't match", file=sys.stderr)
         return 1
     if a.min_coverage is not None and fraction * 100 < a.min_coverage:
-        print(f"{fraction:.1%} covered", file=sys.stderr)
+        told(f"{fraction:.1%} covered", file=sys.stderr)
         return 1
     return 0
 
@@ -55,6 +57,8 @@ def parse(a: argparse.Namespace) -> int:
 def diff(a: argparse.Namespace) -> int:
     left, right = Path(a.file).read_bytes(), Path(a.other).read_bytes()
     runs, changed = changed_runs(left, right)
+    if a.quiet:
+        return int(bool(changed) or len(left) != len(right))
     if a.json:
         print(json.dumps({"left": len(left), "right": len(right), "changed": changed, "runs": [{"offset": o, "len": n} for o, n in runs[: a.limit]]}))
     else:
@@ -79,12 +83,14 @@ def strings(a: argparse.Namespace) -> int:
 
 
 def entropy(a: argparse.Namespace) -> int:
-    data, _, _ = _region(a)
-    found = entropies(data, a.buckets)
-    if found:
+    data, at, _ = _region(a)
+    found = entropies(data, max(1, a.buckets))
+    if found and a.json:
+        print(json.dumps({"offset": at, "len": len(data), "bucket_bytes": len(data) // len(found), "values": [round(v, 6) for v in found]}))
+    elif found:
         peak = max(range(len(found)), key=lambda i: (found[i], i))
         _show(a, [{"bucket": i, "entropy": round(v, 6)} for i, v in enumerate(found)])
-        if not a.json:
+        if not a.quiet:
             print(f"mean {sum(found) / len(found):.4f}, peak {found[peak]:.4f} in bucket {peak}" + (", looks packed" if found[peak] > 0.95 else ""))
     return int(not found)
 
@@ -101,25 +107,33 @@ def check(a: argparse.Namespace) -> int:
     for path in a.schemas:
         try:
             s = parse_schema(Path(path).read_text())
-            print(f"{path}: {len(s.types)} types")
+            if not a.quiet:
+                print(f"{path}: {len(s.types)} types")
         except SchemaError as e:
             failed += 1
-            print(f"{path}: {e}", file=sys.stderr)
+            if not a.quiet:
+                print(f"{path}: {e}", file=sys.stderr)
     return int(bool(failed))
 
 
 def _show(a: argparse.Namespace, rows: list[dict]) -> None:
-    print(json.dumps(rows, ensure_ascii=False)) if a.json else [print("  ".join(str(v) for v in r.values())) for r in rows]
+    if a.json:
+        print(json.dumps(rows, ensure_ascii=False))
+    elif not a.quiet:
+        for r in rows:
+            print("  ".join(str(v) for v in r.values()))
 
 
 def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="bytesmith", description=__doc__)
+    top.add_argument("-V", "--version", action="version", version=f"bytesmith {VERSION}")
     verbs = top.add_subparsers(dest="verb", required=True)
 
     def verb(name, run, *, file=True, span=False):
         p = verbs.add_parser(name)
         p.set_defaults(run=run)
         p.add_argument("--json", action="store_true")
+        p.add_argument("-q", "--quiet", action="store_true")
         if file:
             p.add_argument("file")
         if span:

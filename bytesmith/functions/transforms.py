@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import binascii
 import zlib
 
 import numpy as np
@@ -40,37 +41,30 @@ def _add(data: bytes, n: int) -> bytes:
     return (np.frombuffer(data, np.uint8) + np.uint8(n & 255)).tobytes()
 
 
-_SYMBOLS = {c: i for i, c in enumerate(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")}
-_IGNORED = frozenset(b"= \t\r\n\x0b\x0c")
+_SYMBOLS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+_IGNORED = b"= \t\r\n\x0b\x0c"
 
 
 def _base64(data: bytes) -> bytes:
     """'=' and white space are skipped wherever they are; bits left over at the end are dropped."""
-    bits = n = 0
-    out = bytearray()
-    for c in data:
-        if c in _IGNORED:
-            continue
-        if c not in _SYMBOLS:
-            raise TransformError(f"byte {c:#04x} is not base64")
-        bits, n = (bits << 6) | _SYMBOLS[c], n + 6
-        if n >= 8:
-            n -= 8
-            out.append((bits >> n) & 255)
-            bits &= (1 << n) - 1
-    return bytes(out)
+    solid = data.translate(None, _IGNORED)
+    if odd := solid.translate(None, _SYMBOLS):
+        raise TransformError(f"byte {odd[0]:#04x} is not base64")
+    # Whole groups of four, then what two or three symbols more hold; a single one holds no byte.
+    rest = len(solid) % 4
+    return binascii.a2b_base64(solid[: len(solid) - (rest == 1)] + b"A" * (4 - rest if rest > 1 else 0))[: len(solid) * 6 // 8]
 
 
 def _inflater(window: int):
-    def run(data: bytes, limit: int = 1 << 30) -> bytes:
-        """The first stream alone; what follows it is ignored. A stream cut short is an error, as is one over `limit` bytes."""
+    def run(data: bytes) -> bytes:
+        """The first stream alone; what follows it is ignored. A stream cut short is an error."""
         z = zlib.decompressobj(window)
         try:
-            out = z.decompress(data, limit)
+            out = z.decompress(data)
         except zlib.error as e:
             raise TransformError(f"compressed data are broken: {e}") from None
         if not z.eof:
-            raise TransformError("compressed data end early" if len(out) < limit else f"they hold over {limit} bytes")
+            raise TransformError("compressed data end early")
         return out
 
     return run

@@ -196,7 +196,7 @@ def _records(data: bytes) -> list[tuple]:
     if best < 0.35 or best - chance < 0.15:
         return []
     stride = next(s for s, x in zip(strides, score) if x - chance >= np.float32(0.95) * (np.float32(best) - chance))
-    return [("records", f"{len(data) // stride} of {stride} bytes", 0, len(data) // stride * stride)]
+    return [("records", f"{len(a) // stride} of {stride} bytes", 0, len(data))]
 
 
 def hints(data: bytes, base: int = 0, total: int | None = None) -> list[tuple[str, str, int, int]]:

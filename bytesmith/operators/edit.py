@@ -172,13 +172,15 @@ def field_edits(fields: DataFrame, changes: pd.DataFrame | DataFrame, endian: st
 PASSES = 8
 
 
-def _bad_checks(node: Node, big: bool) -> Iterable[tuple[int, int, int, bool]]:
+def _bad_checks(root: Node, big: bool) -> Iterable[tuple[int, int, int, bool]]:
     """(offset, size, value, big) of the mismatches among the object's own bytes: decoded ones aren't in it."""
-    if node.check and not node.check["ok"]:
-        yield node.offset, node.size, node.check["computed"], node.type_name.endswith("be") or (big and not node.type_name.endswith("le"))
-    if not node.decoded:
-        for c in node.children:
-            yield from _bad_checks(c, big)
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.check and not node.check["ok"]:
+            yield node.offset, node.size, node.check["computed"], node.type_name.endswith("be") or (big and not node.type_name.endswith("le"))
+        if not node.decoded:
+            stack.extend(reversed(node.children))
 
 
 def repair(data: bytes, schema_text: str, entry: str, endian: str) -> tuple[bytes, int, int]:

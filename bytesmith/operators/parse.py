@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.interpreter import Node, Outcome, Program, coverage_of, leaf_spans
+from ..plans.interpreter import Node, Outcome, Program, coverage_of, deep, leaf_spans
 from ..plans.language import parse_schema
 from ..plans.metadata import read_metadata
 
@@ -117,10 +117,11 @@ def tree_json(node: Node) -> dict:
 
 
 def outcome_json(o: Outcome) -> str:
-    out = {"tree": tree_json(o.tree)}
-    if o.fault:
-        out["fault"] = {k: v for k, v in vars(o.fault).items() if v is not None}
-    return json.dumps(out | {"coverage": coverage_of(leaf_spans(o.tree), o.total)}, ensure_ascii=False)
+    with deep():
+        out = {"tree": tree_json(o.tree)}
+        if o.fault:
+            out["fault"] = {k: v for k, v in vars(o.fault).items() if v is not None}
+        return json.dumps(out | {"coverage": coverage_of(leaf_spans(o.tree), o.total)}, ensure_ascii=False)
 
 
 def shown_value(node: Node) -> str:
@@ -136,21 +137,26 @@ def shown_value(node: Node) -> str:
     return str(v).lower() if node.kind == "bool" else f"{v:#x}" if node.kind == "bitfield" else str(v)
 
 
-def tree_text(node: Node, depth: int = 0) -> str:
+def tree_text(root: Node) -> str:
     """name: type = value  [@offset +size]  [check]  // description, a line per node."""
-    line = f"{'  ' * depth}{node.name}: {node.type_name} = {shown_value(node)}  [@{node.offset} +{node.size}]"
-    if node.check:
-        line += f"  [{node.check['algo']} {'ok' if node.check['ok'] else 'MISMATCH'}]"
-    if node.description:
-        line += f"  // {node.description}"
-    return "\n".join([line, *(tree_text(c, depth + 1) for c in node.children)])
-
-
-def parse(objects: DataFrame, schema_text: str, *, entry: str | None = None, endian: str | None = None, mode: str = "PERMISSIVE", paths: Iterable[str] | None = None, render: bool = False) -> DataFrame:
+    lines, stack = [], [(root, 0)]
+    while stack:
+        node, depth = stack.pop()
+        line = f"{'  ' * depth}{node.name}: {node.type_name} = {shown_value(node)}  [@{node.offset} +{node.size}]"
+        if node.check:
+            line += f"  [{node.check['algo']} {'ok' if node.check['ok'] else 'MISMATCH'}]"
+        if node.description:
+            line += f"  // {node.description}"
+        lines.append(line)
+        stack.extend((c, depth + 1) for c in reversed(node.children))
+    return "\n".join(lines)
+
+
+def parse(objects: DataFrame, schema_text: str, *, entry: str | None = None, endian: str | None = None, mode: str = "PERMISSIVE", paths: Iterable[str] | None = None, render: bool = False, covered: bool = True) -> DataFrame:
     """object_id, fields, fault, coverage, failed_checks (and json, tree if `render`): a row per object.
 
     mode: PERMISSIVE keeps what was read before the first fault; FAILFAST raises. paths: the only fields wanted, such as
-    Root.items[].key. Only those leave the Python worker."""
+    Root.items[].key. Only those leave the Python worker. covered: whether coverage is wanted; it is null if not."""
     entry, endian = entry_of(schema_text, entry, endian)
     program(schema_text)  # a bad schema fails here
     wanted = None if paths is None else frozenset(paths)
@@ -166,7 +172,7 @@ def parse(objects: DataFrame, schema_text: str, *, entry: str | None = None, end
                     if o.fault and mode == "FAILFAST":
                         raise ParseFailed(f"{key}: {o.fault.kind} at {o.fault.path}, offset {o.fault.offset}: {o.fault.message}")
                     flat.append(flat_rows(o.tree, wanted))
-                    row = (vars(o.fault) if o.fault else None, coverage_of(leaf_spans(o.tree), o.total), count_failed(o.tree))
+                    row = (vars(o.fault) if o.fault else None, coverage_of(leaf_spans(o.tree), o.total) if covered else None, count_failed(o.tree))
                     rest.append(row + ((outcome_json(o), tree_text(o.tree)) if render else ()))
                 others = [pa.array(c, f.type) for c, f in zip(zip(*rest), list(schema)[2:])]
                 yield pa.RecordBatch.from_arrays([ids, _field_lists(flat), *others], schema=schema)

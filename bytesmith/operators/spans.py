@@ -5,6 +5,10 @@ an overlap is counted in the bucket where it begins. No pair that doesn't share
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +35,67 @@ def touched(fields: DataFrame, runs: DataFrame, bucket: int = BUCKET) -> DataFra
     return fields.join(some.select("object_id", "node_id").distinct(), ["object_id", "node_id"], "left_semi")
 
 
-def deepest(points: DataFrame, fields: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """points (object_id, at) with the deepest field of the object's own bytes there; of equals the smallest, then the first."""
-    at = points.select(F.col("object_id").cast("string").alias("object_id"), F.col("at").alias("offset"), F.lit(1).alias("size"))
-    met = overlaps(at, fields.filter("space_id = 0 AND size > 0").select("object_id", "offset", "size", "node_id", "path", "depth"), bucket)
-    by = Window.partitionBy("object_id", "offset").orderBy(F.desc("r_depth"), "r_size", "r_node_id")
-    return met.withColumn("_at", F.row_number().over(by)).filter("_at = 1").select("object_id", F.col("offset").alias("at"), F.col("r_node_id").alias("node_id"), F.col("r_path").alias("path"))
+class Tree:
+    """The spans of one object's fields, in preorder, as lists: which field a place belongs to."""
+
+    def __init__(self, ids: list[int], parents: list[int | None], begin: list[int], end: list[int]):
+        self.begin, self.end = begin, end
+        row = dict(zip(ids, range(len(ids))))
+        self.kids: dict[int, list[int]] = {}
+        for n, p in enumerate(parents):
+            if p in row:
+                self.kids.setdefault(row[p], []).append(n)
+        self.ends: dict[int, list[int] | None] = {}
+
+    def child(self, node: int, at: int) -> int | None:
+        """The first child whose span holds the place: by halving among many in rising, separate spans, else one after the other."""
+        of = self.kids.get(node, ())
+        if len(of) > 16:
+            if node not in self.ends:
+                rising = all(self.end[a] <= self.begin[b] for a, b in zip(of, of[1:]))
+                self.ends[node] = [self.end[n] for n in of] if rising else None
+            if (ends := self.ends[node]) is not None:
+                of = of[bisect_right(ends, at) :][:1]
+        return next((n for n in of if self.begin[n] <= at < self.end[n]), None)
+
+    def field_at(self, at: int) -> int | None:
+        """Within the root's span: down from the root, always into the first child that holds the place. Outside it: the smallest field there, the first of equals."""
+        if not self.begin:
+            return None
+        if self.begin[0] <= at < self.end[0]:
+            node = 0
+            while (inner := self.child(node, at)) is not None:
+                node = inner
+            return node
+        return min((n for n in range(len(self.begin)) if self.begin[n] <= at < self.end[n]), key=lambda n: self.end[n] - self.begin[n], default=None)
+
+
+def deepest(points: DataFrame, fields: DataFrame) -> DataFrame:
+    """points (object_id, at) with the field that a click there selects (Tree.field_at), of the object's own bytes; places outside all fields are left out.
+
+    An object's fields and its points are each gathered into a row, and these meet in one join: no pair is formed."""
+    at = points.select(F.col("object_id").cast("string").alias("object_id"), F.col("at").cast("bigint").alias("at")).filter("at IS NOT NULL")
+    own = fields.filter("space_id = 0").select("object_id", F.struct("node_id", "parent_id", "offset", (F.col("offset") + F.col("size")).alias("stop"), "path").alias("f"))
+    both = at.groupBy("object_id").agg(F.collect_list("at").alias("at")).join(own.groupBy("object_id").agg(F.sort_array(F.collect_list("f")).alias("f")), "object_id")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, places = b.column("at").offsets.to_pylist(), b.column("at").values.to_pylist()
+            cuts, flat = b.column("f").offsets.to_pylist(), b.column("f").values
+            ids, parents, begin, stop = (flat.field(c).to_pylist() for c in ("node_id", "parent_id", "offset", "stop"))
+            rows, found = [], []
+            for i in range(b.num_rows):
+                lo, hi = cuts[i], cuts[i + 1]
+                tree = Tree(ids[lo:hi], parents[lo:hi], begin[lo:hi], stop[lo:hi])
+                for j in range(ends[i], ends[i + 1]):
+                    if (n := tree.field_at(places[j])) is not None:
+                        rows.append((i, places[j]))
+                        found.append(lo + n)
+            of, where = (pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1))
+            at = pa.array(found, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("object_id").take(of), where, flat.field("node_id").take(at), flat.field("path").take(at)], ["object_id", "at", "node_id", "path"])
+
+    return both.select("object_id", "at", "f").mapInArrow(meet, "object_id string, at bigint, node_id int, path string")
 
 
 def islands(spans: DataFrame) -> DataFrame:

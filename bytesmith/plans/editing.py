@@ -38,9 +38,11 @@ def candidate_table(spans: DataFrame) -> DataFrame:
 
 
 def suggested_name(content: Column, offset: Column, size: Column) -> Column:
-    """The span as a lower-case name if it is a printable identifier of at most 24 characters, else null."""
-    text = F.decode(F.substring(content, (offset + 1).cast("int"), size.cast("int")), "ISO-8859-1")
-    return F.when(text.rlike("^[A-Za-z_][A-Za-z0-9_]{0,23}$"), F.lower(text))
+    """The span as a lower-case name if it has at most 24 bytes, is all there, and is an identifier but for white space around it; else field_ and its offset in hex."""
+    span = F.substring(content, (offset + 1).cast("int"), size.cast("int"))
+    text = F.regexp_replace(F.decode(span, "ISO-8859-1"), "^[\\t-\\r \u00a0]+|[\\t-\\r \u00a0]+$", "")
+    named = (size > 0) & (size <= 24) & (F.octet_length(span) == size) & text.rlike("^[A-Za-z_][A-Za-z0-9_]*$")
+    return F.when(named, F.lower(text)).otherwise(F.concat(F.lit("field_"), F.lower(F.hex(offset.cast("bigint")))))
 
 
 def insert_fields(text: str, struct: str, fields: list[tuple[str, str]]) -> str:

@@ -22,6 +22,26 @@ def _u(start: int, size: int, big: bool) -> str:
     return f"CASE WHEN length(h) >= {2 * (start + size)} THEN ('0x' || {' || '.join(parts)})::UBIGINT END"
 
 
+def _i(size: int, big: bool) -> str:
+    """SQL for the signed number at the beginning of h."""
+    u = f"({_u(0, size, big)})::BIGINT"
+    return f"(CASE WHEN {u} >= {1 << (8 * size - 1)} THEN {u} - {1 << (8 * size)} ELSE {u} END)"
+
+
+def _f(size: int, big: bool) -> str:
+    """SQL for the float at the beginning of h, if it is a normal one."""
+    bits, bias = (23, 127) if size == 4 else (52, 1023)
+    u, power = f"({_u(0, size, big)})::HUGEINT", f"(({_u(0, size, big)})::HUGEINT // {1 << bits} % {2 * bias + 2})"
+    return f"(CASE WHEN {u} >= {1 << (8 * size - 1)} THEN -1.0 ELSE 1.0 END::DOUBLE * (1.0::DOUBLE + ({u} % {1 << bits})::DOUBLE / {float(1 << bits)!r}::DOUBLE) * pow(2.0::DOUBLE, ({power} - {bias})::DOUBLE))"
+
+
+#: Readings offered for a printable span of each size.
+_CANDIDATES = {
+    1: ["u8", "i8", "bool", "char", "bytes[1]"], 2: ["char[2]", "u16", "i16", "bytes[2]"], 3: ["char[3]", "bytes[3]"], 4: ["char[4]", "u32", "i32", "f32", "u16[2]", "bytes[4]"], 5: ["char[5]", "bytes[5]"],
+    6: ["char[6]", "u16[3]", "bytes[6]"], 7: ["char[7]", "bytes[7]"], 8: ["char[8]", "u64", "i64", "f64", "u16[4]", "u32[2]", "bytes[8]"],
+}
+
+
 def _best_formats() -> str:
     """(remainder, format, confidence) of each magic: what else matches its bytes and comes before it counts."""
     rows = []
@@ -42,13 +62,13 @@ SQL = {
     "src_endian_reads": f"""WITH {DOCS} SELECT doc_id, ({_u(0, 2, True)})::BIGINT AS u16_be, ({_u(0, 2, False)})::BIGINT AS u16_le, ({_u(1, 4, True)})::BIGINT AS u32_be, ({_u(1, 4, False)})::BIGINT AS u32_le,
         (CASE WHEN ({_u(3, 1, True)}) > 127 THEN ({_u(3, 1, True)})::BIGINT - 256 ELSE ({_u(3, 1, True)})::BIGINT END) AS i8,
         (CASE WHEN ({_u(0, 4, False)}) > 2147483647 THEN ({_u(0, 4, False)})::BIGINT - 4294967296 ELSE ({_u(0, 4, False)})::BIGINT END) AS i32_le, ({_u(0, 8, True)})::VARCHAR AS u64_be FROM d""",
-    "src_interpretations": f"""WITH {DOCS}, e AS (SELECT doc_id, right(h, 8) AS h FROM d WHERE length(h) >= 8)
-        SELECT doc_id, ({_u(0, 1, True)})::BIGINT AS u8, ({_u(0, 2, False)})::BIGINT AS u16_le, ({_u(0, 4, True)})::BIGINT AS u32_be, true AS short FROM e""",
+    "src_interpretations": f"""WITH {DOCS}, e AS (SELECT doc_id, substr(h, 2 * (doc_id % 11) + 1) AS h FROM d) SELECT doc_id, ({_u(0, 1, True)})::BIGINT AS u8, {_i(1, True)} AS i8, ({_u(0, 2, False)})::BIGINT AS u16_le, ({_u(0, 2, True)})::BIGINT AS u16_be,
+        ({_u(0, 4, False)})::BIGINT AS u32_le, ({_u(0, 4, True)})::BIGINT AS u32_be, ({_u(0, 8, False)})::VARCHAR AS u64_le, ({_u(0, 8, True)})::VARCHAR AS u64_be, {_i(4, False)} AS i32_le, {_i(4, True)} AS i32_be,
+        {_f(4, False)} AS f32_le, {_f(4, True)} AS f32_be, {_f(8, False)} AS f64_le, {_f(8, True)} AS f64_be FROM e""",
     "src_pages": f"""WITH {DOCS}, p AS (SELECT doc_id, h, unnest(range((octet_length(b) + 999) // 1000)) AS page FROM d)
         SELECT doc_id, page, page * 1000 AS offset, (length(substr(h, page * 2000 + 1, 2000)) // 2)::BIGINT AS size, md5(unhex(substr(h, page * 2000 + 1, 2000))) AS md5 FROM p""",
     "src_region": f"WITH {DOCS} SELECT doc_id, substr(h, 21, 200) AS hex FROM d",
-    "src_strict_text": f"WITH {DOCS} SELECT doc_id, NOT regexp_matches(substr(h, 1, 202), '^(..)*[89A-F]') AS is_ascii, length(h) % 4 <> 0 AND length(h) < 6 OR length(h) >= 6 AS odd_fails FROM d",
-    "src_strict_text_whole": f"""WITH {DOCS} SELECT doc_id, NOT regexp_matches(h, '^(..)*[89A-F]') AS is_ascii,
+    "src_strict_text": f"""WITH {DOCS} SELECT doc_id, NOT regexp_matches(h, '^(..)*[89A-F]') AS is_ascii,
         regexp_full_match(regexp_replace(h, '(..)(..)', '\\2\\1', 'g'), '(([0-9A-CEF].|D[0-7])..|D[89AB]..D[C-F]..)*') AS is_utf16le FROM d""",
     "src_hex_and_bits": "SELECT n_nationkey::BIGINT AS n_nationkey, '00 ' || lpad(upper(to_hex(n_nationkey)), 2, '0') AS hex, '00000000 ' || lpad(to_binary(n_nationkey), 8, '0') AS bits FROM nation",
     "prj_record": RECORD_SQL,
@@ -68,9 +88,7 @@ SQL = {
         SELECT c_custkey, sum(v)::BIGINT % 256 AS sum8, sum(v)::BIGINT % 65536 AS sum16, bit_xor(v)::BIGINT AS xor8, ((max(n) + sum((n - i) * v)::BIGINT) % 65521) * 65536 + (1 + sum(v)::BIGINT) % 65521 AS adler32 FROM x GROUP BY c_custkey""",
     "agg_entropy": f"""WITH {BYTES}, c AS (SELECT doc_id, least(i // (n // least(8, n)), least(8, n) - 1) AS bucket, v, count(*) AS k FROM x GROUP BY ALL),
         p AS (SELECT *, k / sum(k) OVER (PARTITION BY doc_id, bucket) AS q FROM c) SELECT doc_id, bucket::BIGINT AS bucket, round(abs(-sum(q * log2(q)) / 8)::FLOAT::DOUBLE, 4) AS entropy FROM p GROUP BY doc_id, bucket""",
-    "agg_entropy_summary": f"""WITH {BYTES}, c AS (SELECT doc_id, v, count(*) AS k FROM x GROUP BY ALL), p AS (SELECT *, k / sum(k) OVER (PARTITION BY doc_id) AS q FROM c),
-        e AS (SELECT doc_id, abs(-sum(q * log2(q)) / 8) AS v FROM p GROUP BY doc_id) SELECT doc_id, round(v::FLOAT::DOUBLE, 4) AS mean, v > 0.95 AS packed, 0::BIGINT AS peak_bucket FROM e""",
-    "agg_entropy_peaks": f"""WITH {BYTES}, c AS (SELECT doc_id, least(i // (n // least(64, n)), least(64, n) - 1) AS bucket, v, count(*) AS k FROM x GROUP BY ALL),
+    "agg_entropy_summary": f"""WITH {BYTES}, c AS (SELECT doc_id, least(i // (n // least(64, n)), least(64, n) - 1) AS bucket, v, count(*) AS k FROM x GROUP BY ALL),
         p AS (SELECT *, k / sum(k) OVER (PARTITION BY doc_id, bucket) AS q FROM c), e AS (SELECT doc_id, bucket::BIGINT AS bucket, abs(-sum(q * log2(q)) / 8)::FLOAT AS v FROM p GROUP BY doc_id, bucket)
         SELECT doc_id, round(avg(v::DOUBLE), 4) AS mean, round(max(v)::DOUBLE, 4) AS peak, max(v) > 0.95 AS packed, arg_max(bucket, {{'v': v, 'b': bucket}}) AS peak_bucket FROM e GROUP BY doc_id""",
     "win_strings": """WITH s AS (SELECT doc_id, regexp_extract_all(text, '[ -~]{6,}') AS l FROM documents)
@@ -96,7 +114,11 @@ SQL = {
     "fn_detect": f"SELECT doc_id, format, confidence::BIGINT AS confidence FROM documents JOIN (VALUES {_best_formats()}) f(k, format, confidence) ON doc_id % {len(registry())} = k",
     "jn_schema_of_format": f"""SELECT format, schema_id, count(*) AS n FROM documents JOIN (VALUES {_best_formats()}) f(k, format, confidence) ON doc_id % {len(registry())} = k
         JOIN (VALUES {', '.join(f"('{k}', '{v}')" for k, v in _BUILT_IN.items())}) s(format, schema_id) USING (format) GROUP BY ALL""",
-    "fn_guess": "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS detail FROM events",
+    "fn_guess": """WITH e AS (SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS v FROM events), b AS (SELECT *, (v % 256) * 16777216 + (v // 256 % 256) * 65536 + (v // 65536 % 256) * 256 + v // 16777216 AS r, v % 65536 AS t, v // 65536 AS d FROM e)
+        SELECT event_id, 'unix seconds u32 little' AS label, strftime(make_timestamp(v * 1000000), '%Y-%m-%d %H:%M:%S') AS detail FROM b
+        UNION ALL SELECT event_id, 'unix seconds u32 big', strftime(make_timestamp(r * 1000000), '%Y-%m-%d %H:%M:%S') FROM b WHERE r BETWEEN 1000000000 AND 2147483647
+        UNION ALL SELECT event_id, 'dos date', format('{:04d}-{:02d}-{:02d} {:02d}:{:02d}:{:02d}', 1980 + d // 512, d // 32 % 16, d % 32, t // 2048, t // 32 % 64, t % 32 * 2) FROM b
+            WHERE 1980 + d // 512 BETWEEN 1990 AND 2040 AND d // 32 % 16 BETWEEN 1 AND 12 AND d % 32 >= 1 AND t // 2048 < 24 AND t // 32 % 64 < 60 AND t % 32 < 30""",
     "fn_hints": """SELECT 'f' || s_suppkey AS object_id, 'fill' AS label, (s_suppkey % 50 + 8)::BIGINT AS size FROM supplier
         UNION ALL SELECT 's' || s_suppkey, 'size prefix', 4 FROM supplier""",
     "fn_decode_base64": "SELECT doc_id, md5(text) AS md5 FROM documents",
@@ -106,5 +128,7 @@ SQL = {
     "ed_last_edit": "SELECT place::BIGINT AS \"at\", byte::BIGINT AS byte, count(*) AS n FROM documents, (VALUES (2, 88), (3, 89), (4, 81), (5, 81)) v(place, byte) WHERE octet_length(encode(text)) >= 10 GROUP BY ALL",
     "ed_fix_checksums": "SELECT (l_orderkey % 7 = 0)::BIGINT AS fixed, 0::BIGINT AS remaining, count(*) AS n FROM lineitem GROUP BY ALL",
     "snk_tree_text": """SELECT n_nationkey::BIGINT AS n_nationkey, '  name: string[size] = "' || n_name || '"  [@2 +' || octet_length(encode(n_name)) || ']' AS name_line, n_name AS name FROM nation""",
-    "dsl_suggested_names": "SELECT p_partkey, CASE WHEN regexp_full_match(substr(p_name, 1, 4), '[A-Za-z_][A-Za-z0-9_]{0,23}') THEN lower(substr(p_name, 1, 4)) END AS name FROM part",
+    "dsl_candidates": "SELECT size, type, count(*) AS n FROM (SELECT s_suppkey % 9 AS size, unnest(CASE s_suppkey % 9 " + " ".join(f"WHEN {n} THEN {names}" for n, names in _CANDIDATES.items()) + " END) AS type FROM supplier) GROUP BY ALL",
+    "dsl_suggested_names": """WITH p AS (SELECT p_partkey, p_name || '  ' || p_type AS x, p_partkey % 9 AS a, p_partkey % 13 AS n FROM part), t AS (SELECT *, trim(substr(x, a + 1, n)) AS t FROM p)
+        SELECT p_partkey, CASE WHEN n > 0 AND a + n <= length(x) AND regexp_full_match(t, '[A-Za-z_][A-Za-z0-9_]*') THEN lower(t) ELSE 'field_' || lower(to_hex(a)) END AS name FROM t""",
 }

@@ -82,8 +82,12 @@ def src_endian_reads(spark, sf_dir):
 
 
 def src_interpretations(spark, sf_dir):
-    at = B.interpretations(F.col("content"), F.octet_length("content") - 4)
-    return documents(spark, sf_dir).filter(F.octet_length("content") >= 4).select(F.col("object_id").cast("bigint").alias("doc_id"), at.alias("x")).select("doc_id", F.col("x.u8").alias("u8"), F.col("x.u16_le").alias("u16_le"), F.col("x.u32_be").alias("u32_be"), F.col("x.u64_le").isNull().alias("short"))
+    """All readings at varying places; null where the object is too short."""
+    names = ("u8", "i8", "u16_le", "u16_be", "u32_le", "u32_be", "u64_le", "u64_be", "i32_le", "i32_be", "f32_le", "f32_be", "f64_le", "f64_be")
+    wide = lambda n: F.col(f"x.{n}").cast("string") if n.startswith("u64") else F.col(f"x.{n}")
+    doc = F.col("object_id").cast("bigint")
+    at = B.interpretations(F.col("content"), (doc % 11).cast("int"))
+    return documents(spark, sf_dir).select(doc.alias("doc_id"), at.alias("x")).select("doc_id", *[wide(n).alias(n) for n in names])
 
 
 def src_pages(spark, sf_dir):
@@ -95,12 +99,7 @@ def src_region(spark, sf_dir):
 
 
 def src_strict_text(spark, sf_dir):
-    data = O.region(documents(spark, sf_dir), 0, 101)
-    return data.select(F.col("object_id").cast("bigint").alias("doc_id"), B.strict_text(F.col("content"), "ascii").isNotNull().alias("is_ascii"), B.strict_text(F.substring(F.col("content"), 1, 3), "utf16le").isNull().alias("odd_fails"))
-
-
-def src_strict_text_whole(spark, sf_dir):
-    """Whole documents, where src_strict_text reads the first bytes of each."""
+    """Whole documents: are they valid in an encoding?"""
     text = lambda encoding: B.strict_text(F.col("content"), encoding).isNotNull().alias(f"is_{encoding}")
     return documents(spark, sf_dir).select(F.col("object_id").cast("bigint").alias("doc_id"), text("ascii"), text("utf16le"))
 
@@ -119,7 +118,7 @@ def prj_record(spark, sf_dir):
 def prj_record_interpreted(spark, sf_dir):
     """The same columns out of the interpreter's table of fields: one pivot by object, on few paths."""
     wanted = [f"Record.{p}" for p in ("orderkey", "partkey", "suppkey", "linenumber", "quantity.cents", "price.cents", "discount", "tax", "flag", "status", "shipped", "twice", "crc")]
-    o = parse.parse(records(spark, sf_dir), RECORD, paths=wanted)
+    o = parse.parse(records(spark, sf_dir), RECORD, paths=wanted, covered=False)
     at = lambda p: F.filter("fields", lambda f: f["path"] == f"Record.{p}")[0]
     u = lambda p: at(p)["v_u"].cast("bigint")
     return o.select(
@@ -148,7 +147,7 @@ def prj_varint_orders(spark, sf_dir):
     parts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", item.alias("data")))).alias("x"))
     body = F.unhex(F.array_join(F.transform("x", lambda i: F.hex(i["data"])), ""))
     objects = parts.select(F.col("l_orderkey").cast("string").alias("object_id"), F.concat(be(F.col("l_orderkey"), 4), varint(F.size("x")), body).alias("content"))
-    f = parse.fields(parse.parse(objects, ORDER, paths=["Order.items[].part", "Order.items[].extra"]))
+    f = parse.fields(parse.parse(objects, ORDER, paths=["Order.items[].part", "Order.items[].extra"], covered=False))
     at = F.regexp_extract("path", r"\[(\d+)\]", 1).cast("bigint")
     value = lambda name: F.max(F.when(F.col("name") == name, F.col("v_u").cast("bigint")))
     return f.groupBy(F.col("object_id").cast("bigint").alias("l_orderkey"), at.alias("item")).agg(value("part").alias("part"), value("extra").alias("extra"))
@@ -208,12 +207,7 @@ def agg_entropy(spark, sf_dir):
 
 
 def agg_entropy_summary(spark, sf_dir):
-    s = analysis.entropy_summary(analysis.entropy(documents(spark, sf_dir), 1))
-    return s.select(F.col("object_id").cast("bigint").alias("doc_id"), F.round(F.col("mean").cast("double"), 4).alias("mean"), "packed", F.col("peak_bucket").cast("bigint").alias("peak_bucket"))
-
-
-def agg_entropy_peaks(spark, sf_dir):
-    """The summary over the reference's 64 buckets, where agg_entropy_summary has one."""
+    """Over 64 buckets: the mean, and the peak with its last place."""
     s = analysis.entropy_summary(analysis.entropy(documents(spark, sf_dir), 64))
     rounded = lambda c: F.round(F.col(c).cast("double"), 4).alias(c)
     return s.select(F.col("object_id").cast("bigint").alias("doc_id"), rounded("mean"), rounded("peak"), "packed", F.col("peak_bucket").cast("bigint").alias("peak_bucket"))
@@ -274,7 +268,7 @@ def jn_tree_diff(spark, sf_dir):
 def jn_deepest_field(spark, sf_dir):
     o = records(spark, sf_dir)
     points = o.select("object_id", (F.split_part("object_id", F.lit("-"), F.lit(3)).cast("bigint") % 35).alias("at"))
-    found = spans.deepest(points, parse.fields(parse.parse(o, RECORD)))
+    found = spans.deepest(points, parse.fields(parse.parse(o, RECORD, covered=False)))
     return found.groupBy("path", "at").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -321,7 +315,7 @@ def jn_schema_of_format(spark, sf_dir):
 def fn_guess(spark, sf_dir):
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
     objects = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("object_id"), F.unhex(F.concat(*[F.substring(F.lpad(F.hex(seconds), 8, "0"), i, 2) for i in (7, 5, 3, 1)])).alias("content"))
-    return analysis.guess(objects).filter("label = 'unix seconds u32 little'").select(F.col("object_id").cast("bigint").alias("event_id"), "detail")
+    return analysis.guess(objects).select(F.col("object_id").cast("bigint").alias("event_id"), "label", "detail")
 
 
 def fn_hints(spark, sf_dir):
@@ -329,7 +323,7 @@ def fn_hints(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     fill = s.select(F.concat(F.lit("f"), "s_suppkey").alias("object_id"), F.unhex(F.repeat(F.lpad(F.hex(F.col("s_nationkey").cast("bigint")), 2, "0"), (F.col("s_suppkey") % 50 + 8).cast("int"))).alias("content"))
     sized = s.select(F.concat(F.lit("s"), "s_suppkey").alias("object_id"), F.concat(be(F.octet_length("s_name"), 4), F.encode("s_name", "UTF-8")).alias("content"))
-    return analysis.shape_hints(fill.unionByName(sized)).filter("ordinal = 0").select("object_id", "label", "size")
+    return analysis.shape_hints(fill.unionByName(sized)).select("object_id", "label", "size")
 
 
 def fn_decode_base64(spark, sf_dir):
@@ -341,9 +335,11 @@ def fn_decode_base64(spark, sf_dir):
 def fn_decode_zlib(spark, sf_dir):
     """Compressed and masked documents, unmasked, inflated and read as a struct."""
 
+    masked = bytes(b ^ 0x5A for b in range(256))
+
     @F.arrow_udf("binary")
     def pack(data: pa.Array) -> pa.Array:
-        return pa.array([bytes(b ^ 0x5A for b in zlib.compress(x.as_py(), 1)) for x in data], pa.binary())
+        return pa.array([zlib.compress(x.as_py(), 1).translate(masked) for x in data], pa.binary())
 
     schema = "struct Text { all bytes[*] } struct Mask { body bytes[*] decode zlib as Text } struct D { body bytes[*] decode xor(0x5a) as Mask }"
     f = parse.fields(parse.parse(documents(spark, sf_dir).select("object_id", pack("content").alias("content")), schema, entry="D", paths=["D.body.body.all"]))
@@ -397,13 +393,15 @@ def dsl_candidates(spark, sf_dir):
 
 
 def dsl_suggested_names(spark, sf_dir):
-    data = F.encode("p_name", "UTF-8")
-    return table(spark, sf_dir, "part").select("p_partkey", suggested_name(data, F.lit(0), F.lit(4)).alias("name"))
+    """Names for spans at varying places and of varying sizes, some beyond the end, some with blanks."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    data = F.encode(F.concat("p_name", F.lit("  "), "p_type"), "UTF-8")
+    return p.select("p_partkey", suggested_name(data, k % 9, k % 13).alias("name"))
 
 
 QUERIES = {f.__name__: f for f in (
-    src_endian_reads, src_interpretations, src_pages, src_region, src_strict_text, src_strict_text_whole, src_hex_and_bits, prj_record, prj_record_interpreted, prj_varint_orders, prj_tagged_union, prj_faults, agg_coverage,
-    agg_failed_checks, fn_checksums, fn_checksum_columns, agg_entropy, agg_entropy_summary, agg_entropy_peaks, win_strings, srt_limited_strings, search_all, search_first, search_benchmark, diff_summary, diff_runs, jn_next_change,
+    src_endian_reads, src_interpretations, src_pages, src_region, src_strict_text, src_hex_and_bits, prj_record, prj_record_interpreted, prj_varint_orders, prj_tagged_union, prj_faults, agg_coverage,
+    agg_failed_checks, fn_checksums, fn_checksum_columns, agg_entropy, agg_entropy_summary, win_strings, srt_limited_strings, search_all, search_first, search_benchmark, diff_summary, diff_runs, jn_next_change,
     jn_tree_diff, jn_deepest_field, jn_overlaps, win_islands, win_uncovered, fn_detect, jn_schema_of_format, fn_guess, fn_hints, fn_decode_base64, fn_decode_zlib, ed_replay, ed_overlay, ed_last_edit,
     ed_fix_checksums, snk_tree_text, dsl_candidates, dsl_suggested_names,
 )}

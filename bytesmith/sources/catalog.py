@@ -180,6 +180,33 @@ class PluginFolder:
         return out
 
 
+class Registry:
+    """Packs in a local directory tree, by paths that registry_path() allows."""
+
+    def __init__(self, folder: str | Path):
+        self.folder = Path(folder)
+
+    def list(self) -> list[tuple[str, str, str, int]]:
+        """(path, id, version, number of formats) of the packs that can be read, by path."""
+        out = []
+        for p in sorted(self.folder.rglob("*.toml")):
+            try:
+                path = registry_path(p.relative_to(self.folder).as_posix())
+                found = read_plugin(p.read_text())
+                validate_plugin(found)
+                out.append((path, found.id, found.version, len(found.formats)))
+            except CatalogError:
+                continue
+        return out
+
+    def fetch(self, path: str) -> str:
+        """A pack's text."""
+        file = self.folder / registry_path(path)
+        if not file.is_file():
+            raise CatalogError(f"there is no pack {path}")
+        return file.read_text()
+
+
 class Library:
     """Users' layouts in a folder, a .layout each."""
 

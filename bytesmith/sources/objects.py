@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +13,17 @@ from pyspark.sql import functions as F
 PAGE, ROW = 4096, 16
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: in spark.checkpoint.dir, or where all runs in this one process a local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="bytesmith-")
+        spark.sparkContext.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/bytesmith-{spark.sparkContext.applicationId}"
+
+
 def files(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False) -> DataFrame:
     """object_id (the path), content, length of each file; length and path filters reach the source."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())

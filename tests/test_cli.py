@@ -27,3 +27,13 @@ def test_others(files, capsys):
     assert main(["diff", files("four"), files("four")]) == 0 and main(["diff", files("four"), files("eight")]) == 1
     assert main(["detect", files("four")]) == 1 and main(["strings", files("eight"), "--at", "0x4"]) == 0 and main(["entropy", files("four")]) == 0 and main(["hints", files("four"), "--at", "9"]) == 1
     assert main(["check", files("s.layout")]) == 0 and main(["check", files("bad")]) == 1 and main(["nonsense"]) == 2
+
+
+def test_quiet_version_and_entropy(files, capsys):
+    assert main(["entropy", files("eight"), "--json", "--buckets", "2"]) == 0
+    assert json.loads(capsys.readouterr().out) == {"offset": 0, "len": 8, "bucket_bytes": 4, "values": [0.1875, 0.0]}
+    for verb in (["entropy", files("eight")], ["parse", files("sum.layout"), files("sum.layout")], ["diff", files("four"), files("eight")], ["strings", files("eight")], ["check", files("bad")]):
+        main([*verb, "-q"])
+    out = capsys.readouterr()
+    assert out.out == out.err == ""
+    assert main(["--version"]) == 0 and capsys.readouterr().out.startswith("bytesmith ")

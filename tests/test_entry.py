@@ -13,7 +13,7 @@ def test_flagship(spark):
     assert len(rows) == 3 and all(r.failed < r.n for r in rows)
 
 
-@pytest.mark.parametrize("name", ["src_strict_text_whole", "agg_entropy_peaks"])
+@pytest.mark.parametrize("name", ["src_strict_text", "agg_entropy_summary"])
 def test_whole_documents(spark, tmp_path, name):
     """Against SQL, on documents whose odd bytes and sections come late."""
     noise = "".join(chr(33 + i * 7919 % 90) for i in range(4000))
@@ -24,7 +24,7 @@ def test_whole_documents(spark, tmp_path, name):
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
-    if name == "agg_entropy_peaks":
+    if name == "agg_entropy_summary":
         assert {r[0]: r[4] for r in want}[6] > 0
     else:
         assert [r[1] for r in sorted(want)][3:6] == [True, False, False]

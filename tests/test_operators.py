@@ -230,3 +230,29 @@ def test_limits_and_candidates(spark):
     s = analysis.strings(spark.createDataFrame([("a", b"one1\0two2\0three"), ("b", b"")], "object_id string, content binary"))
     got = analysis.limited(s, 2, [F.col("offset")]).collect()
     assert [(r.text, r.total_rows, r.truncated) for r in got] == [("one1", 3, True), ("two2", 3, True)]
+
+
+def test_field_at_by_brute_force():
+    """Random nestings, some with places outside the root: the first child that holds the place, or else the smallest field."""
+    import random
+
+    from bytesmith.operators.spans import Tree
+
+    rng = random.Random(5)
+    for _ in range(200):
+        nodes = [(0, None, 0, rng.randrange(1, 40))]
+        for i in range(1, rng.randrange(2, 60)):
+            a = rng.randrange(60)
+            nodes.append((i, rng.randrange(i), a, a + rng.randrange(12)))
+        tree = Tree(*(list(c) for c in zip(*nodes)))
+        for at in range(70):
+            holds = lambda n: nodes[n][2] <= at < nodes[n][3]
+            want = 0 if holds(0) else None
+            if want == 0:
+                while (inner := next((n for n in range(len(nodes)) if nodes[n][1] == want and holds(n)), None)) is not None:
+                    want = inner
+            else:
+                want = min((n for n in range(len(nodes)) if holds(n)), key=lambda n: nodes[n][3] - nodes[n][2], default=None)
+            assert tree.field_at(at) == want
+    wide = Tree([0, *range(1, 101)], [None, *[0] * 100], [0, *range(0, 200, 2)], [200, *range(1, 201, 2)])
+    assert wide.field_at(50) == 26 and wide.field_at(51) == 0

@@ -122,6 +122,25 @@ def test_depth_and_missing_entry():
         run("struct S { }", b"", entry="T")
 
 
+def test_depth_at_a_low_recursion_limit():
+    import inspect
+    import sys
+
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(len(inspect.stack()) + 60)
+    try:
+        o = run("struct S { a S }", b"")
+    finally:
+        sys.setrecursionlimit(limit)
+    assert o.fault.kind == "limit" and o.fault.path.count(".a") > 100
+    assert json.loads(P.outcome_json(o))["fault"]["kind"] == "limit" and P.tree_text(o.tree).count("\n") > 100
+
+
+def test_depth_in_spark(spark):
+    rows = P.parse(spark.createDataFrame([("a", b"x"), ("b", b"")], "object_id string, content binary"), "struct S { a S }", render=True).collect()
+    assert [r.fault.kind for r in rows] == ["limit"] * 2
+
+
 def test_checks_and_coverage():
     o = run('struct S { tag char[4] v u32 crc u32 check crc32 over(tag .. v) }', b"TAG!" + struct.pack("<I", 42) + struct.pack("<I", 0x77412FA2))
     assert o.tree.children[2].check["ok"]
