@@ -1,7 +1,7 @@
 """Parse a column of binary objects by a schema: outcomes, a flat table of fields, text and JSON renderings.
 
 Objects are a DataFrame (object_id STRING, content BINARY). Each is parsed where it lies, in Arrow batches; nothing is shuffled. A
-null content is an empty object."""
+null content is an empty object. Layouts of fixed places are read a batch at a time (plans/fixed.py), all others object by object."""
 
 from __future__ import annotations
 
@@ -9,10 +9,13 @@ import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import fixed
 from ..plans.interpreter import Node, Outcome, Program, coverage_of, deep, leaf_spans
 from ..plans.language import parse_schema
 from ..plans.metadata import read_metadata
@@ -161,9 +164,27 @@ def parse(objects: DataFrame, schema_text: str, *, entry: str | None = None, end
     program(schema_text)  # a bad schema fails here
     wanted = None if paths is None else frozenset(paths)
 
+    def fast(b: pa.RecordBatch, slots: list[fixed.Slot], some: list[int]) -> pa.RecordBatch:
+        """Objects that hold a layout of fixed places whole."""
+        stride, sizes = slots[0].size, pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+        reader = fixed.Reader(slots, fixed.matrix(b.column(1), stride))
+        gaps = pa.StructArray.from_arrays([pa.array(np.full(int((sizes > stride).sum()), stride, np.int64)), pa.array(sizes[sizes > stride] - stride)], names=["offset", "len"])
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes > stride)]), pa.int32())
+        parts = [pa.array(sizes), pa.array(np.full(len(sizes), stride, np.int64)), pa.ListArray.from_arrays(ends, gaps), pa.array(np.zeros(len(sizes), bool))]
+        seen = pa.StructArray.from_arrays([x.cast(f.type) for x, f in zip(parts, _COVERAGE)], fields=list(_COVERAGE)) if covered else pa.nulls(len(sizes), _COVERAGE)
+        return pa.RecordBatch.from_arrays([b.column(0), reader.lists(some, _FIELD), pa.nulls(len(sizes), _FAULT), seen, pa.array(reader.failed())], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prog = program(schema_text)
+        slots = None if render else fixed.plan(prog.schema, entry, endian)
+        some = [n for n, s in enumerate(slots or ()) if wanted is None or _plain(s.path) in wanted]
         for b in batches:
+            if slots:
+                whole = pc.fill_null(pc.greater_equal(pc.binary_length(b.column(1)), slots[0].size), False)
+                held = b.filter(whole)
+                for lo in range(0, held.num_rows, 4096):
+                    yield fast(held.slice(lo, 4096), slots, some)
+                b = b.filter(pc.invert(whole))
             for lo in range(0, b.num_rows, 512):
                 ids = b.column(0).slice(lo, 512)
                 flat, rest = [], []

@@ -269,3 +269,52 @@ def test_not_admissible(spark):
     for text in ("struct S { a varint }", "struct S { a bytes[*] decode base64 }", "struct S { a repeat u8 while 1 }"):
         with pytest.raises(NotAdmissible):
             compiled(F.lit(b""), text, "S")
+
+
+FIXED = """
+// @entry S
+enum E : u16 { a = 1 b = 2 big = 65535 } enum N : i8 { high = 255 one = 1 }
+bitfield B : u32 { x 0 y 1..3 z 8..31 } struct In { p u16 q i8be_ } struct Empty { }
+struct S {
+    k u8 "the key" t u16be e E n N b B s string[5] c char cs char[3] raw bytes[4] f f32 g f64be on bool in In none Empty more In[2] nums u16[3] no u8[0]
+    big u64 more_ i64be twice = k * 2 - 300 deep = in.p + more_ - 1 wrap = big * big + 7 sum u8 check sum8 over(k .. t) crc u32be check crc32 over(e .. raw)
+}
+""".replace("i8be_", "i8")
+
+
+@pytest.mark.parametrize("order", ["le", "be"])
+def test_fixed_layouts_equal_the_interpreter(spark, order):
+    """Random objects, some too short, some longer: the same rows as from the interpreter alone."""
+    import random
+
+    from bytesmith.plans import fixed
+
+    rng = random.Random(7)
+    stride = fixed.plan(parse_schema(FIXED), "S", order)[0].size
+    data = [rng.randbytes(rng.choice([0, 3, stride - 1, stride, stride, stride, stride + 9])) for _ in range(300)]
+    data += [b"AB\0C\xff" * 40, bytes(stride), b"\xff" * stride]
+    for i in range(0, len(data), 5):
+        if len(data[i]) >= stride:
+            at = next(s for s in fixed.plan(parse_schema(FIXED), "S", order) if s.name == "sum").offset
+            data[i] = data[i][:at] + bytes([sum(data[i][:3]) % 256]) + data[i][at + 1 :]
+    objects = spark.createDataFrame([(str(i), d) for i, d in enumerate(data)] + [("null", None)], "object_id string, content binary")
+    for paths in (None, ["S.k", "S.more[].q", "S.b.y", "S.wrap", "S.crc"]):
+        got = {r.object_id: r for r in P.parse(objects, FIXED, endian=order, paths=paths).collect()}
+        assert len(got) == len(data) + 1
+        for i, d in enumerate(data):
+            o = P.program(FIXED).run(d, "S", order)
+            want = [dict(zip([f.name for f in P._FIELD], x)) for x in P.flat_rows(o.tree, None if paths is None else frozenset(paths))]
+            mine = [f.asDict(recursive=True) for f in got[str(i)].fields]
+            assert len(mine) == len(want)
+            for a, b in zip(mine, want):
+                a = {k: (int(v) if k == "v_u" and v is not None else bytes(v) if isinstance(v, bytearray) else {x: int(y) if x in ("computed", "stored") else y for x, y in v.items()} if k == "check" and v else v) for k, v in a.items()}
+                assert str(a) == str(b), (i, a["path"])
+            assert (got[str(i)].fault is None) == (o.fault is None) and got[str(i)].failed_checks == P.count_failed(o.tree)
+            assert got[str(i)].coverage.asDict(recursive=True) == coverage_of(leaf_spans(o.tree), len(d))
+
+
+def test_varying_layouts_are_not_fixed():
+    from bytesmith.plans import fixed
+
+    for text in ("struct S { a u8 b u8[a] }", "struct S { a u8 if a }", "struct S { a at 4 u8 }", "struct S { a repeat u8 }", "struct S { a varint }", "struct S { a cstring }", "struct S { a bytes[*] }", "struct S { a u8 b = a / 2 }", "struct S { a S }", "struct S { a bytes[2] decode add(1) }", "struct S { a Nope }", "struct S { a u8[600] }"):
+        assert fixed.plan(parse_schema(text), "S", "le") is None
