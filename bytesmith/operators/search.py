@@ -25,13 +25,31 @@ def find_all(objects: DataFrame, needle: bytes, limit: int | None = None, conten
     return per_object(some, [content], lambda c: ((o,) for o in offsets_of(c, needle, limit)), "object_id string, offset bigint")
 
 
-def find_many(objects: DataFrame, needles: DataFrame, content: str = "content") -> DataFrame:
+#: Bytes of needles in one automaton, which every task holds; and in all.
+SHARD_BYTES, MOST_BYTES = 32 << 20, 1 << 30
+
+
+def find_many(objects: DataFrame, needles: DataFrame, content: str = "content", *, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """object_id, needle_id, offset for each of the needles (needle_id, needle BINARY).
 
-    The needles are a stated, bounded list: they go into one automaton on the driver."""
+    Needles are measured first: up to `shard_bytes` of them go into one automaton that all tasks hold; more are dealt by their hash into
+    shards, each of which meets the objects in a scan of its own. Over MOST_BYTES are refused."""
+    some = needles.filter("octet_length(needle) > 0").select(F.col("needle_id").cast("bigint").alias("needle_id"), "needle")
+    size = some.agg(F.sum(F.octet_length("needle") + 64)).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"{size} bytes of needles are more than {MOST_BYTES}")
+    shards = max(1, -(-size // shard_bytes))
+    out = None
+    for k in range(shards):
+        rows = _find_shard(objects, some.filter(F.pmod(F.xxhash64("needle"), F.lit(shards)) == k), content)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _find_shard(objects: DataFrame, needles: DataFrame, content: str) -> DataFrame:
     import ahocorasick
 
-    listed = [(r.needle_id, bytes(r.needle)) for r in needles.select("needle_id", "needle").collect()]
+    listed = [(r.needle_id, bytes(r.needle)) for r in needles.collect()]  # about shard_bytes
     words = [(i, n.decode("latin-1")) for i, n in listed if n]
 
     made: list = []

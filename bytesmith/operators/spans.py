@@ -73,10 +73,15 @@ class Tree:
 def deepest(points: DataFrame, fields: DataFrame) -> DataFrame:
     """points (object_id, at) with the field that a click there selects (Tree.field_at), of the object's own bytes; places outside all fields are left out.
 
-    An object's fields and its points are each gathered into a row, and these meet in one join: no pair is formed."""
+    fields: a row per field, or the outcomes of a parse, whose lists needn't be taken apart. An object's fields and its points are each
+    gathered into a row, and these meet in one join: no pair is formed."""
     at = points.select(F.col("object_id").cast("string").alias("object_id"), F.col("at").cast("bigint").alias("at")).filter("at IS NOT NULL")
-    own = fields.filter("space_id = 0").select("object_id", F.struct("node_id", "parent_id", "offset", (F.col("offset") + F.col("size")).alias("stop"), "path").alias("f"))
-    both = at.groupBy("object_id").agg(F.collect_list("at").alias("at")).join(own.groupBy("object_id").agg(F.sort_array(F.collect_list("f")).alias("f")), "object_id")
+    if "fields" in fields.columns:
+        own = fields.select("object_id", F.expr("transform(filter(fields, f -> f.space_id = 0), f -> struct(f.node_id AS node_id, f.parent_id AS parent_id, f.offset AS offset, f.offset + f.size AS stop, f.path AS path))").alias("f"))
+    else:
+        each = fields.filter("space_id = 0").select("object_id", F.struct("node_id", "parent_id", "offset", (F.col("offset") + F.col("size")).alias("stop"), "path").alias("f"))
+        own = each.groupBy("object_id").agg(F.sort_array(F.collect_list("f")).alias("f"))
+    both = at.groupBy("object_id").agg(F.collect_list("at").alias("at")).join(own, "object_id")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

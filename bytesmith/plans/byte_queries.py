@@ -276,7 +276,7 @@ def jn_field_at(spark, sf_dir):
     """Which field a place selects, in a tree with two pointers to the same bytes outside the root's span."""
     o = documents(spark, sf_dir).filter(F.octet_length("content") >= 24)
     points = o.select("object_id", (number("object_id") % 26).alias("at"))
-    return spans.deepest(points, parse.fields(parse.parse(o, HEADED, covered=False))).select(number("object_id").alias("doc_id"), "at", "path")
+    return spans.deepest(points, parse.parse(o, HEADED, covered=False)).select(number("object_id").alias("doc_id"), "at", "path")
 
 
 @query("""SELECT s_suppkey, place AS "at", CASE WHEN place < 2 THEN 'S.n' WHEN place < 2 + 4 * n AND (place - 2) % 4 < 3 THEN 'S.items[' || ((place - 2) // 4) || '].a' WHEN place < 2 + 4 * n THEN 'S.items[' || ((place - 2) // 4) || '].b' ELSE 'S.tail' END AS path

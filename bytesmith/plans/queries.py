@@ -46,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.column(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit("")))
+    return O.column(O.spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", F.coalesce("text", F.lit("")))
 
 
 def be(n: Column, width: int) -> Column:
@@ -70,7 +70,7 @@ def records(spark: SparkSession, sf_dir: str, broken: bool = False, more: int =
     )
     crc = F.crc32(F.col("body")).bitwiseXOR(F.when(F.lit(broken) & (F.col("l_orderkey") % 7 == 0), 1).otherwise(0).cast("bigint"))
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    return table(spark, sf_dir, "lineitem").withColumn("body", body).select(key.alias("object_id"), F.concat("body", be(crc, 4)).alias("content"))
+    return O.spread(table(spark, sf_dir, "lineitem")).withColumn("body", body).select(key.alias("object_id"), F.concat("body", be(crc, 4)).alias("content"))
 
 
 def src_endian_reads(spark, sf_dir):
@@ -116,10 +116,11 @@ def prj_record(spark, sf_dir):
 
 
 def prj_record_interpreted(spark, sf_dir):
-    """The same columns out of the interpreter's table of fields: one pivot by object, on few paths."""
+    """The same columns out of the parser's table of fields: one pivot by object, on few paths, which come in the layout's order."""
     wanted = [f"Record.{p}" for p in ("orderkey", "partkey", "suppkey", "linenumber", "quantity.cents", "price.cents", "discount", "tax", "flag", "status", "shipped", "twice", "crc")]
     o = parse.parse(records(spark, sf_dir), RECORD, paths=wanted, covered=False)
-    at = lambda p: F.filter("fields", lambda f: f["path"] == f"Record.{p}")[0]
+    field = lambda p: F.get("fields", F.lit(wanted.index(f"Record.{p}")))
+    at = lambda p: F.when(field(p)["path"] == f"Record.{p}", field(p))
     u = lambda p: at(p)["v_u"].cast("bigint")
     return o.select(
         u("orderkey").alias("l_orderkey"), u("partkey").alias("l_partkey"), u("suppkey").alias("l_suppkey"), u("linenumber").alias("l_linenumber"), (u("quantity.cents") / 100).alias("l_quantity"),
@@ -241,7 +242,7 @@ def search_benchmark(spark, sf_dir):
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document beside the next one."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    d = O.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.encode("text", "UTF-8").alias("data"))
     return d.select(F.col("doc_id").cast("string").alias("object_id"), "doc_id", F.col("data").alias("left")).join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("data").alias("right")), "doc_id")
 
 
@@ -268,7 +269,7 @@ def jn_tree_diff(spark, sf_dir):
 def jn_deepest_field(spark, sf_dir):
     o = records(spark, sf_dir)
     points = o.select("object_id", (F.split_part("object_id", F.lit("-"), F.lit(3)).cast("bigint") % 35).alias("at"))
-    found = spans.deepest(points, parse.fields(parse.parse(o, RECORD, covered=False)))
+    found = spans.deepest(points, parse.parse(o, RECORD, covered=False))
     return found.groupBy("path", "at").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -24,6 +24,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{found.rstrip('/')}/bytesmith-{spark.sparkContext.applicationId}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores where a table comes in fewer partitions than these, as a small file of one row group does; larger ones stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def files(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False) -> DataFrame:
     """object_id (the path), content, length of each file; length and path filters reach the source."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())

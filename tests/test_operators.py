@@ -256,3 +256,13 @@ def test_field_at_by_brute_force():
             assert tree.field_at(at) == want
     wide = Tree([0, *range(1, 101)], [None, *[0] * 100], [0, *range(0, 200, 2)], [200, *range(1, 201, 2)])
     assert wide.field_at(50) == 26 and wide.field_at(51) == 0
+
+
+def test_many_needles_in_shards(spark):
+    """The same hits from one automaton as from several."""
+    from bytesmith.operators.search import find_many
+
+    objects = spark.createDataFrame([(str(i), f"a{i} bc ab{i % 7} needle".encode()) for i in range(50)] + [("none", None)], "object_id string, content binary")
+    needles = spark.createDataFrame([(i, w.encode()) for i, w in enumerate(["a", "ab", "bc a", "needle", "dle", "", "zz", "ab", "3 "])], "needle_id long, needle binary")
+    one = sorted(map(tuple, find_many(objects, needles).collect()))
+    assert one == sorted(map(tuple, find_many(objects, needles, shard_bytes=200).collect())) and len({r[1] for r in one}) == 7
