@@ -210,6 +210,58 @@ def brute_classes(spark, texts):
     return [find(i) for i in range(n)]
 
 
+def plain_classes(texts, common=32.0, threshold=0.8):
+    """Classes by plain Python, without the operator's hashes, sketch or weights: all pairs, with document frequencies counted exactly."""
+    import re
+    from collections import Counter
+
+    def shingled(t):
+        w = re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").lower().encode())
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+    bags = [shingled(t) for t in texts]
+    df = Counter(x for b in bags for x in b)
+    idf = {x: 1 + math.log(min(len(texts) / n, common)) for x, n in df.items()}
+    total = [sum(n * idf[x] for x, n in b.items()) for b in bags]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(range(len(texts)), 2):
+        shared = sum(min(n, bags[b][x]) * idf[x] for x, n in bags[a].items() if x in bags[b])
+        if (texts[a] or "") == (texts[b] or "") or shared and shared / (total[a] + total[b] - shared) >= threshold:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    return [find(i) for i in range(len(texts))]
+
+
+def large_groups(seed=9):
+    """Families of copies of copies, whose links form chains and several components that share most of their words."""
+    rng = np.random.default_rng(seed)
+    word = lambda: f"w{rng.integers(0, 4000)}"
+    common = [word() for _ in range(60)]
+    texts = []
+    for _ in range(6):
+        base = common + [word() for _ in range(60)]
+        for _ in range(25):
+            texts.append(" ".join(base))
+            for _ in range(rng.integers(0, 3)):
+                base[rng.integers(len(base))] = word()
+    return [texts[i] for i in rng.permutation(len(texts))]
+
+
+@pytest.mark.parametrize(("make", "per_node"), [(lambda: corpus(), 1000), (large_groups, 1000), (large_groups, 20)])
+def test_near_duplicates_equal_plain_python(spark, monkeypatch, make, per_node):
+    monkeypatch.setattr(neardup, "PER_NODE", per_node)
+    texts = make()
+    got = neardup.classes(docs_of(spark, texts)).toPandas().set_index("doc_id").loc[range(len(texts))]
+    want = plain_classes(texts)
+    assert got.class_id.tolist() == want and len(set(want)) > 5 and max(want.count(c) for c in set(want)) > 8
+
+
 @pytest.mark.parametrize("per_node", [1000, 2])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, per_node):
     monkeypatch.setattr(neardup, "PER_NODE", per_node)
@@ -323,3 +375,38 @@ def test_pipeline(spark):
     assert docs.count() == corpus_pipeline.run(spark, sf).count()
     kept = docs.select("doc_id").distinct().count()
     assert 0.5 * before.count() < kept < before.count()
+
+
+def test_pipeline_by_plain_rules(spark):
+    """Each stage on its predecessor's rows, against plain Python: the posterior's bound, classes of all pairs, mentions replaced, ids of whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from bytesmith.llm import pii, quality
+
+    sf = f"{TESTDATA}/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+
+    scored = quality.classify(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    kept = spark.createDataFrame(stages["classify"](spark, docs, sf).collect(), docs.schema)
+    assert ids(kept) == sorted(r.doc_id for r in scored if r.score >= 0.5)
+
+    rows = sorted(kept.collect(), key=lambda r: r.doc_id)
+    classes = plain_classes([r.text for r in rows])
+    single = spark.createDataFrame(stages["deduplicate"](spark, kept, sf).collect(), docs.schema)
+    assert ids(single) == [r.doc_id for i, r in enumerate(rows) if classes[i] == i]
+
+    replaced = spark.createDataFrame(stages["replace_personal_data"](spark, single, sf).collect(), docs.schema)
+    before, after = ({r.doc_id: r for r in df.collect()} for df in (single, replaced))
+    found = {r.doc_id: r.n for r in single.selectExpr("doc_id", f"size(filter(transform(regexp_extract_all(text, {pii._sql(pii.MENTION)}, 0), m -> {pii.kind_of('m')}), k -> k IS NOT NULL)) AS n").collect()}
+    assert all((before[i].text != after[i].text) == (found[i] > 0) and after[i].n_chars == len(after[i].text) for i in before) and sum(found.values()) > 0
+
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = stages["pack"](spark, replaced, sf).toPandas()
+    for i, r in after.items():
+        mine = pieces[pieces.doc_id == i].sort_values("start")
+        want = np.array([*whole.encode(r.text, add_special_tokens=False).ids, 1], "<u4")
+        assert mine.length.sum() == len(want) and mine.ids_crc32.tolist() == [zlib.crc32(want[a : a + n].tobytes()) for a, n in zip(mine.start, mine.length)]
+    assert pieces.groupby("sequence_id").length.sum().max() <= 2048
