@@ -279,7 +279,7 @@ def jn_field_at(spark, sf_dir):
     return spans.deepest(points, parse.parse(o, HEADED, covered=False)).select(number("object_id").alias("doc_id"), "at", "path")
 
 
-@query("""SELECT s_suppkey, place AS "at", CASE WHEN place < 2 THEN 'S.n' WHEN place < 2 + 4 * n AND (place - 2) % 4 < 3 THEN 'S.items[' || ((place - 2) // 4) || '].a' WHEN place < 2 + 4 * n THEN 'S.items[' || ((place - 2) // 4) || '].b' ELSE 'S.tail' END AS path
+@query("""SELECT s_suppkey, place::BIGINT AS "at", CASE WHEN place < 2 THEN 'S.n' WHEN place < 2 + 4 * n AND (place - 2) % 4 < 3 THEN 'S.items[' || ((place - 2) // 4) || '].a' WHEN place < 2 + 4 * n THEN 'S.items[' || ((place - 2) // 4) || '].b' ELSE 'S.tail' END AS path
     FROM (SELECT s_suppkey, s_suppkey % 6 AS n, unnest([0, 1, 2, 4, 5, 9, 17, 21, 25]) AS place FROM supplier) WHERE place < 2 + 4 * n + 1""")
 def jn_field_in_array(spark, sf_dir):
     """The same in arrays of structs, several places an object."""
