@@ -70,31 +70,34 @@ NUMBERS = "|".join((
 ))
 #: What stands before a phone's own digits: a country code (of one digit, of two, or else of three), with (0) or without, or the prefix 0.
 PREFIX = r"^(?:(?:\+|00)(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})[ ./-]?(?:\(0\))?|0(?=[1-9])|\(0(?=[1-9]\d{0,4}\)[ /-]?\d{5}))"
-TITLE = "(?:" + "|".join(t for names in TITLES.values() for t in names) + ")"
+def _either(words) -> str:
+    """A pattern for any of the words, grouped by their first letters: most places of a text are done with one test."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(c + "(?:" + "|".join(sorted(rest, key=len, reverse=True)) + ")" for c, rest in by.items()) + ")"
+
+
+TITLES_ALL = [t for names in TITLES.values() for t in names]
+TITLE, TITLE_CAPS = _either(TITLES_ALL), _either([t.upper() for t in TITLES_ALL])
 SURNAME = rf"(?:(?:{'|'.join(PARTICLES)}) ){{0,2}}{CAPITAL}"
 #: A name may begin here: a capital behind one of the cues.
-ANNOUNCED = rf"(?=\p{{Lu}})(?<=(?:{'|'.join(CUES)})[ \n]{{1,2}})"
+ANNOUNCED = rf"(?<=(?:{'|'.join(CUES)})[ \n]{{1,2}})"
 
 
-def _known(given: dict) -> str:
-    return "(?:" + "|".join(n for names in given.values() for n in names) + ")"
+def _known(given: dict) -> list[str]:
+    return [n for names in given.values() for n in names]
 
 
 def _mention(given: dict) -> str:
     known = _known(given)
-    name = "|".join((
-        rf"{TITLE}\.? {CAPITAL}(?: (?:\p{{Lu}}\. )?{SURNAME})?", rf"{known} (?:\p{{Lu}}\. )?{SURNAME}", rf"(?:{TITLE.upper()}\.?|{known.upper()}) {CAPITALS}(?!\p{{Ll}})", rf"{ANNOUNCED}{CAPITAL}(?: (?:\p{{Lu}}\. )?{SURNAME})?",
-    ))
-    return rf"(?<![\p{{L}}\p{{N}}._%+-])(?:{EMAIL}|(?:{NUMBERS}|{name})(?!{LETTER}))"
-
-
-def _hint(given: dict) -> str:
-    """What any mention holds: most texts are done with this alone. No \\b, which in some versions of Java knows ASCII letters only."""
-    known = _known(given)
-    return rf"[@0-9]|(?<!{LETTER})(?:{TITLE}|{known}|{TITLE.upper()}|{known.upper()})(?!{LETTER})|(?:{'|'.join(CUES)})[ \n]"
+    more = rf"(?: (?:\p{{Lu}}\. )?{SURNAME})"
+    name = "|".join((rf"{TITLE}\.? {CAPITAL}{more}?", rf"{_either(known)}{more}", rf"(?:{TITLE_CAPS}\.?|{_either([n.upper() for n in known])}) {CAPITALS}(?!\p{{Ll}})", rf"{ANNOUNCED}{CAPITAL}{more}?"))
+    return rf"(?<![\p{{L}}\p{{N}}._%+-])(?:{EMAIL}|(?:(?=[+(0-9A-Z])(?:{NUMBERS})|(?=\p{{Lu}})(?:{name}))(?!{LETTER}))"
 
 
-MENTION, HINT = _mention(GIVEN), _hint(GIVEN)
+#: No \b in it, which in some versions of Java knows ASCII letters only.
+MENTION = _mention(GIVEN)
 
 DIGITS, LOWER, UPPER = string.digits, string.ascii_lowercase, string.ascii_uppercase
 ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüý"
@@ -138,7 +141,7 @@ def kind_of(m: str) -> str:
 
 
 def _untitled(m: str) -> str:
-    return f"regexp_replace({m}, {_sql(rf'^(?:{TITLE}|{TITLE.upper()})[.]? ')}, '')"
+    return f"regexp_replace({m}, {_sql(rf'^(?:{TITLE}|{TITLE_CAPS})[.]? ')}, '')"
 
 
 def value_of(m: str, kind: str, given: dict | None = None) -> str:
@@ -238,7 +241,7 @@ def pseudonymise(docs: DataFrame, key: str, given: dict[str, list[str]] | None =
     """docs with surrogates in `text`, and `n_entities`, the mentions replaced in it. given: more given names, by gender (f, m, n)."""
     names = GIVEN | {("more", g): more for g, more in (given or {}).items()}
     pattern = _sql(_mention(names))
-    mentions = f"CASE WHEN {_like('row.text', _hint(names))} THEN transform(regexp_extract_all(row.text, {pattern}, 0), m -> struct(m AS m, {kind_of('m')} AS kind)) END"
+    mentions = f"transform(regexp_extract_all(row.text, {pattern}, 0), m -> struct(m AS m, {kind_of('m')} AS kind))"
     # Scanned once: every row is staged with its mentions, null if no entity is among them.
     found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("mentions", F.expr(mentions))
     found = staged(found.select("row", F.monotonically_increasing_id().alias("no"), F.expr("IF(exists(mentions, x -> x.kind IS NOT NULL), mentions, NULL)").alias("mentions")), "mentions")

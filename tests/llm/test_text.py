@@ -199,14 +199,71 @@ def test_forms_of_phones_and_names(spark):
     assert a == c and a[2:] == b[1:] != "1712345678"
 
 
-def test_hint_needs_no_word_boundary_of_java(spark):
-    """\\b knows other letters than ASCII's up to Java 18 only; names in Cyrillic are hinted at without it."""
-    assert "\\b" not in pii.HINT
+def test_mentions_need_no_word_boundary_of_java(spark):
+    """\\b knows other letters than ASCII's up to Java 18 only; names in Cyrillic are found without it."""
+    assert "\\b" not in pii.MENTION
     texts = ["Потом Иван Петров ушёл", "(Елена Смирнова)", "Иванов Петров"]
     out = {r.doc_id: r.n_entities for r in pii.pseudonymise(table(spark, texts, "value"), "key").collect()}
     assert [out[i] for i in range(3)] == [1, 1, 0]
 
 
+def test_scripts_and_names_beyond_lists(spark):
+    """Surrogates keep script and gender; names in capitals, with particles, or announced by other words are found, and more given names are a parameter."""
+    cases = {
+        "Mr Παπαδόπουλος left": r"Mr [Α-ΩΆ-Ώ][α-ωά-ώϊΐ-]+ left", "met Ελένη Παπαδοπούλου there": r"met (?:%s) [Α-ΩΆ-Ώ][α-ωά-ώϊΐ-]+ there" % "|".join(pii.GIVEN["greek", "f"]), "Ольга Петрова ушла": r"(?:%s) [А-Я][а-я-]+ ушла" % "|".join(pii.GIVEN["cyrillic", "f"]),
+        "Dr Մարտիրոսյան came": r"Dr [Ա-Ֆ][ա-ֆ]+ came", "FOR JOHN SMITH ONLY": r"FOR (?:%s) [A-Z-]+ ONLY" % "|".join(n.upper() for n in pii.GIVEN["latin", "m"]), "Fatima Hassan and Wei Zhang": r"(?:%s) [A-Z][a-z-]+ and (?:%s) [A-Z][a-z-]+" % tuple("|".join(pii.GIVEN["latin", g]) for g in "fm"),
+        "Ludwig van Dyck and Hans van Dyck": r"Ludwig van Dyck and (?:%s) [A-Z][a-z-]+" % "|".join(pii.GIVEN["latin", "m"]), "my name is Chinonso Okafor, hello": r"my name is [A-Z][a-z]+ [A-Z][a-z-]+, hello", "Dear Ottoline, yes": r"Dear [A-Z][a-z-]+, yes",
+        "John F. Kennedy spoke": r"(?:%s) [A-Z][a-z-]+ spoke" % "|".join(pii.GIVEN["latin", "m"]), "what is the name of this": "what is the name of this",
+    }
+    out = {r.doc_id: r.text for r in pii.pseudonymise(table(spark, list(cases), "value"), "key").collect()}
+    for i, (t, pattern) in enumerate(cases.items()):
+        assert re.fullmatch(pattern, out[i]) and (out[i] != t or t == pattern), (t, out[i])
+    more = pii.pseudonymise(table(spark, ["then Ludwig Wood left"], "value"), "key", given={"m": ["Ludwig"]}).filter("doc_id = 0").first()
+    assert re.fullmatch(r"then (?:%s) [A-Z][a-z-]+ left" % "|".join(pii.GIVEN["latin", "m"]), more.text) and "Wood" not in more.text
+
+
+FORMS = {
+    "email": lambda r: f"{r.choice(['ann', 'Bob', 'x.y', 'o_1'])}{r.randrange(400)}@{r.choice(['Site', 'a-b', 'mail7'])}.{r.choice(['com', 'de'])}",
+    "phone": lambda r: r.choice(["+1 (017) 555-{:04d}", "(212) 555-{:04d}", "+49 171 234{:04d}", "0171 234{:04d}"]).format(r.randrange(2000)),
+    "ssn": lambda r: f"123-45-{r.randrange(1000, 1300)}",
+    "ip": lambda r: f"10.{r.randrange(3)}.{r.randrange(20)}.{r.randrange(9)}",
+    "name": lambda r: f"{r.choice(['Mr', 'Mrs.', 'Dr'])} {r.choice(['Weber', 'Smith', 'Иванов', 'Miller', 'Roth', 'Okafor', 'Νικολάου'])}",
+}
+
+
+def test_surrogates_by_plain_rules(spark):
+    """Against plain Python over thousands of mentions: equal entities get equal surrogates everywhere, others others, none that is in the corpus, in the same shape."""
+    import random
+
+    r = random.Random(3)
+    mentions = [(kind, make(r)) for _ in range(500) for kind, make in FORMS.items()]
+    texts = [" ; ".join(m for _, m in mentions[i : i + 25]) for i in range(0, len(mentions), 25)]
+    out = {x.doc_id: x for x in pii.pseudonymise(table(spark, texts, "value"), "k").collect()}
+    new = [m for i in range(len(texts)) for m in out[i].text.split(" ; ")]
+    assert len(new) == len(mentions) and sum(out[i].n_entities for i in range(len(texts))) == len(mentions)
+    digits = lambda s: re.sub(r"\D", "", s)
+    canon = {"email": str.lower, "phone": lambda s: digits(re.sub(r"^(\+1|\+49|0) ?", "", s)), "ssn": digits, "ip": str, "name": lambda s: s.lower()}
+    shape = {"email": lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", s))), "phone": lambda s: re.sub(r"\d", "0", s), "ssn": lambda s: re.sub(r"\d", "0", s), "ip": lambda s: re.sub(r"\d+", "0", s), "name": lambda s: re.sub(r"^(\w+\.?) .*", r"\1", s)}
+    maps = {k: {} for k in FORMS}
+    for (kind, old), now in zip(mentions, new):
+        assert maps[kind].setdefault(canon[kind](old), canon[kind](now)) == canon[kind](now), (old, now)
+        assert shape[kind](old).split("@")[0] == shape[kind](now).split("@")[0] and (kind != "email" or old[-3:].lower() == now[-3:].lower()), (old, now)
+        if kind == "name":
+            script = lambda s: {"CYR" if "а" <= c <= "я" else "GRE" if "\u0390" <= c <= "\u03ce" else "LAT" for c in s.split(" ")[1].lower() if c.isalpha()}
+            assert script(old) == script(now), (old, now)
+    for kind, m in maps.items():
+        assert len(set(m.values())) == len(m) and not set(m.values()) & set(m), kind
+
+
+def test_used_up_types_grow(spark, monkeypatch):
+    """Every e-mail of one letter at one letter is taken: surrogates get longer, and rounds end."""
+    monkeypatch.setattr(pii, "WIDEN", 2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = spark.createDataFrame([("email", f"{a}@{b}.com") for a in letters for b in letters[:3]] + [("email", f"{a}@{b}.com") for a in letters for b in letters[3:]], "kind string, value string")
+    got = pii.assign(rows, "k").toPandas()
+    assert got.surrogate.nunique() == 676 and not set(got.surrogate) & set(got.value) and got.surrogate.str.len().max() > 7
+
+
 def test_surrogates_stay_distinct(spark):
     """Seven-digit phones are a crowded space: collisions must happen and be solved."""
     rows = spark.range(3000).select(F.lit("phone").alias("kind"), F.format_string("55%05d", F.col("id")).alias("value"))
@@ -237,6 +294,34 @@ def test_quality_held_out(spark):
         assert [r.keep for r in sorted(got, key=lambda r: r.doc_id)] == [True] * (n + n // 3) + [False] * 3 and {r.evidence for r in got} == {0.0, quality.NO_WORDS}
 
 
+def test_posterior_by_plain_python(spark):
+    """Sites, priors and scores from the evidence, by hand."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(["word", "Word", "WORD!!", "other"][rng.integers(4)] for _ in range(30)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t, f"h{i % 11}" if i % 13 else None, f"p{i % 3}", 1) for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, int(texts[i].count("!") < 14), 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels, site_weight=0.7, bound=0.4).toPandas()
+    good = 1 / (1 + np.exp(-got.evidence.to_numpy()))
+    host, path = got.source.fillna("-").to_numpy(), [f"{a}|{b}" for a, b in zip(got.source.fillna("-"), got.lang)]
+    sums = lambda keys: ({k: sum(x == k for x in keys) for k in set(keys)}, {k: sum(g for x, g in zip(keys, good) if x == k) for k in set(keys)})
+    (hn, hs), (pn, ps) = sums(host), sums(path)
+    n, rate = len(good), good.mean()
+    v = rate * (1 - rate)
+
+    def strength(spread, chance, scale):
+        between = max(0.0, (spread - chance) / scale)
+        return float(np.clip(v / between - 1, 1.0, 1e6)) if between > 0 else 1e6
+
+    of = lambda p: p.split("|")[0]
+    a = strength(sum(hn[h] * (hs[h] / hn[h] - rate) ** 2 for h in hn), (len(hn) - 1) * v, n - sum(k * k for k in hn.values()) / n)
+    b = strength(sum(pn[p] * (ps[p] / pn[p] - hs[of(p)] / hn[of(p)]) ** 2 for p in pn), (len(pn) - len(hn)) * v, n - sum(k * k / hn[of(p)] for p, k in pn.items()))
+    for r, g, h, p in zip(got.itertuples(), good, host, path):
+        at_host = (hs[h] - g + a * rate) / (hn[h] - 1 + a)
+        at_path = (ps[p] - g + b * at_host) / (pn[p] - 1 + b)
+        posterior = r.evidence + 0.7 * (math.log(at_path / (1 - at_path)) - math.log(rate / (1 - rate)))
+        assert abs(r.site_rate - at_path) < 1e-6 and abs(r.score - 1 / (1 + math.exp(-posterior))) < 1e-6 and r.keep == (r.score >= 0.4)
+
+
 def test_sparse_sites_shrink(spark):
     """By hand: a lone document's site rate is its host's, and a host's is near the global rate if hosts don't differ."""
     rows = [("a", "x", 4.0)] * 50 + [("a", "x", -4.0)] * 50 + [("b", "y", 4.0)] * 50 + [("b", "y", -4.0)] * 50 + [("c", "z", 4.0)]
