@@ -77,7 +77,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, overhead: int = 8) -> Dat
     groups = rows.groupBy("digest").agg(F.sum("size").alias("group_size"))
     numbered = staged(ranked(groups, ["group_size"], ["digest"]), "groups")
     plans = _planned(numbered, shards)
-    placed = numbered.join(plans, "group_size").select("digest", F.expr("to[size(filter(upto, x -> x <= rank_in_group))]").alias("shard"))
+    # Merged, since the plan's rows are as many as there are sizes; Spark would broadcast it by the size of its files.
+    placed = numbered.join(plans.hint("merge"), "group_size").select("digest", F.expr("to[size(filter(upto, x -> x <= rank_in_group))]").alias("shard"))
     # The hot digest is on the rows' side; Spark splits it at run time.
     sharded = rows.join(placed, "digest").select("doc_id", "size", "text_crc32", "shard")
     return ranked(sharded, ["shard"], ["doc_id", "text_crc32", "size"], "slot").select(
