@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import drop_tree, staged
 
 #: Shards at most; bits by which the first round of splitting tells ranges apart, and later ones; bytes counted for a record's headers.
-SHARDS, FIRST_BITS, BITS, HEADERS = 1 << 15, 16, 4, 512
+SHARDS, FIRST_BITS, BITS, HEADERS = 1 << 15, 10, 4, 512
 RECORD_IDS = uuid.UUID("8d2f8a52-5f0c-4b43-9d0e-0b6f1f1d7c11")
 MANIFEST = "file string, shard long, records long, file_bytes long, file_sha256 string"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string, record_id string"
