@@ -200,6 +200,24 @@ class Reader:
                 out += a != b
         return out
 
+    def differs(self, n: int, other: Reader) -> np.ndarray:
+        """Where the value of a field without children is another one in `other`, which holds as many objects: as it would be shown, so NaN is NaN and -0.0 is not 0.0."""
+        s = self.slots[n]
+        if s.kind in ("struct", "array"):
+            return np.zeros(len(self.rows), bool)
+        if s.kind in ("str", "char", "bytes"):
+            out = (self.rows[:, s.offset : s.offset + s.size] != other.rows[:, s.offset : s.offset + s.size]).any(axis=1)
+            if s.kind == "str" and out.any():
+                texts = ([text_of(r.rows[i, s.offset : s.offset + s.size].tobytes()) for i in np.flatnonzero(out)] for r in (self, other))
+                out[out] = [x != y for x, y in zip(*texts)]
+            return out
+        x, y = self.number(n), other.number(n)
+        if s.kind == "bool":
+            return (x != 0) != (y != 0)
+        if s.kind == "f":
+            return np.where(x == y, np.signbit(x) != np.signbit(y), ~(np.isnan(x) & np.isnan(y)))
+        return x != y
+
     def lists(self, wanted: list[int], struct: pa.StructType) -> pa.Array:
         """For each object the list of its wanted fields, as structs."""
         rows, m = len(self.rows), len(wanted)

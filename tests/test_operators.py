@@ -199,6 +199,25 @@ def test_tree_diff(spark):
     assert got["S.xs[1].a"] == "gone" and got["S.xs[0].a"] == "same" and got["S.xs"] == "changed"
 
 
+def test_tree_diff_of_pairs_equals_joined_fields(spark):
+    """A fixed and a varying layout, short and absent contents, values that only look different or only look alike; with and without paths."""
+    fixed_text = "enum E : u8 { a = 1 } bitfield B : u8 { low 0 .. 3 top 7 } struct Q { d u8 t string[3] } struct S { f f32 flag bool q Q e E b B xs u16[2] n = flag + 1 }"
+    whole = struct.pack("<f?B3sBBHH", 1.5, True, 7, b"abc", 1, 0x83, 5, 6)
+    at = lambda n, x: whole[:n] + x + whole[n + len(x) :]
+    nan = at(0, b"\0\0\xc0\x7f")
+    edits = [
+        (whole, whole), (nan, at(0, b"\1\0\xc0\x7f")), (at(0, bytes(4)), at(0, b"\0\0\0\x80")), (whole, nan), (whole, at(4, b"\2")), (whole, at(4, b"\0")), (at(6, b"\xff"), at(6, b"\xfe")), (whole, at(7, b"x")), (whole, at(9, b"\2")),
+        (whole, at(10, b"\x03")), (whole, at(10, b"\x93")), (whole, at(13, b"\1")), (whole, whole + b"!"), (whole, whole[:8]), (whole[:8], whole), (whole[:5], at(5, b"\1")[:6]), (None, whole), (whole, None), (b"", None),
+    ]
+    varying = [(b"\x02abcd", b"\x02abcX"), (b"\x02abcd", b"\x01ab"), (b"\x01ab", b"\x02abcd"), (b"\x02abc", b"\x02abcd"), (None, b"\x00")]
+    for text, cases, some in ((fixed_text, edits, ["S", "S.q.t", "S.xs[]", "S.b"]), ("struct I { a u8 b u8 } struct S { n u8 xs I[n] }", varying, ["S", "S.xs[].b"])):
+        pairs = spark.createDataFrame([(f"o{i}", *x) for i, x in enumerate(cases)], "object_id string, left binary, right binary")
+        for paths in (None, some):
+            tree = lambda side: fields(parse(pairs.select("object_id", F.col(side).alias("content")), text, entry="S", paths=paths))
+            want = sorted(map(tuple, diff.tree_diff(tree("left"), tree("right")).collect()))
+            assert sorted(map(tuple, diff.tree_diff_of(pairs, text, entry="S", paths=paths).collect())) == want and {r[3] for r in want} == {"same", "changed", "gone"}
+
+
 def test_files_heads_and_save(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.bin").write_bytes(b"A" * 5000)
