@@ -8,10 +8,15 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans import fixed
+from . import parse
+
 BUCKET = 4096
 
 
@@ -103,6 +108,48 @@ def deepest(points: DataFrame, fields: DataFrame) -> DataFrame:
     return both.select("object_id", "at", "f").mapInArrow(meet, "object_id string, at bigint, node_id int, path string")
 
 
+def deepest_of(objects: DataFrame, schema_text: str, *, entry: str | None = None, endian: str | None = None) -> DataFrame:
+    """deepest() for objects that carry their places: (object_id, content BINARY, at ARRAY<BIGINT>). Each is parsed where it lies, nothing is gathered or joined, and rows of the same object_id stay apart.
+
+    In a layout of fixed places a field is sought once for each place that occurs in a batch."""
+    entry, endian = parse.entry_of(schema_text, entry, endian)
+    parse.program(schema_text)  # a bad schema fails here
+    names = ["object_id", "at", "node_id", "path"]
+
+    def flat(at: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """The places, and of each the row."""
+        places, rows = at.flatten(), np.repeat(np.arange(len(at)), pc.fill_null(pc.list_value_length(at), 0).to_numpy(zero_copy_only=False))
+        there = places.is_valid()
+        return places.filter(there).to_numpy(zero_copy_only=False), rows[there.to_numpy(zero_copy_only=False)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prog = parse.program(schema_text)
+        slots = fixed.plan(prog.schema, entry, endian)
+        if slots:
+            tree = Tree(list(range(len(slots))), [s.parent for s in slots], [s.offset for s in slots], [s.offset + s.size for s in slots])
+            paths = pa.array([s.path for s in slots], pa.string())
+        for b in batches:
+            if slots:
+                whole = pc.fill_null(pc.greater_equal(pc.binary_length(b.column(1)), slots[0].size), False)
+                held = b.filter(whole)
+                places, rows = flat(held.column(2))
+                known, of = np.unique(places, return_inverse=True)
+                nodes = np.array([-1 if (n := tree.field_at(x)) is None else n for x in known.tolist()], np.int32)[of]
+                hit = nodes >= 0
+                yield pa.RecordBatch.from_arrays([held.column(0).take(pa.array(rows[hit])), pa.array(places[hit], pa.int64()), pa.array(nodes[hit]), paths.take(pa.array(nodes[hit]))], names)
+                b = b.filter(pc.invert(whole))
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                found = []
+                for key, content, at in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist()):
+                    own = [r for r in parse.flat_rows(prog.run(content.as_py() or b"", entry, endian).tree) if r[21] == 0]
+                    of_object = Tree([r[0] for r in own], [r[1] for r in own], [r[16] for r in own], [r[16] + r[17] for r in own])
+                    found += [(key, x, own[n][0], own[n][4]) for x in at or () if x is not None and (n := of_object.field_at(x)) is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.string()))], names)
+
+    return objects.select(F.col("object_id").cast("string").alias("object_id"), "content", F.col("at").cast("array<bigint>").alias("at")).mapInArrow(run, "object_id string, at bigint, node_id int, path string")
+
+
 def islands(spans: DataFrame) -> DataFrame:
     """object_id, offset, size of the union of the spans, as maximal runs."""
     by = Window.partitionBy("object_id").orderBy("offset", "stop")

@@ -218,6 +218,17 @@ def test_tree_diff_of_pairs_equals_joined_fields(spark):
             assert sorted(map(tuple, diff.tree_diff_of(pairs, text, entry="S", paths=paths).collect())) == want and {r[3] for r in want} == {"same", "changed", "gone"}
 
 
+def test_deepest_of_equals_joined_points(spark):
+    """A fixed and a varying layout, pointers, short and absent contents, places outside, none, null and repeated."""
+    fixed_text = "struct Q { d u8 t string[3] } struct S { a u16 q Q xs u16[20] n = a + 1 z u8 }"
+    pointed = "struct T { x u16 y u16 } struct S { n u8 place u8 far at place T xs T[n] }"
+    places = [list(range(-2, 60)), [5, 5, None], [], None, [2**40, 0, -(2**40)]]
+    for text, contents in ((fixed_text, [bytes(range(47)), bytes(80), bytes(46), b"", None]), (pointed, [b"\x02\x0a" + bytes(30), b"\x01\x1e" + bytes(9), b"\x02", None])):
+        o = spark.createDataFrame([(f"o{i}-{j}", c, at) for i, c in enumerate(contents) for j, at in enumerate(places)], "object_id string, content binary, at array<bigint>")
+        want = sorted(map(tuple, spans.deepest(o.select("object_id", F.explode("at").alias("at")), parse(o.select("object_id", "content"), text, entry="S")).collect()))
+        assert sorted(map(tuple, spans.deepest_of(o, text, entry="S").collect())) == want and len({r[3] for r in want}) > 4
+
+
 def test_files_heads_and_save(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.bin").write_bytes(b"A" * 5000)

@@ -31,13 +31,15 @@ def test_query_equals_sql(spark, db, name):
     assert mine == sorted(want, key=key) and (mine or name == "jn_touched")
 
 
-def test_jn_tree_diff_with_equal_lines(spark, tmp_path):
+@pytest.mark.parametrize("name", ["jn_tree_diff", "jn_deepest_field"])
+def test_records_of_equal_lines(spark, tmp_path, name):
     """Lines that are equal in all columns are records of their own, and no record crosses an exchange."""
     lines = spark.read.parquet(SMALL + "/lineitem.parquet").limit(200)
     lines.union(lines.limit(50)).union(lines.limit(50)).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
-    got = entry.queries()["jn_tree_diff"](spark, str(tmp_path))
+    got = entry.queries()[name](spark, str(tmp_path))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
-    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()['jn_tree_diff']})").fetchall()
+    columns = ", ".join(f'"{c}"' for c in got.columns)
+    want = con.execute(f"SELECT {columns} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
